@@ -9,8 +9,10 @@ from tessera.llm.media import op8_media
 from tessera.llm.neardup import op3_neardup
 from tessera.llm.quality import op4_quality
 from tessera.llm.sharding import op7_sharding
+from tessera.llm.wrappers import op1_html
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
     "op4_quality": op4_quality,
