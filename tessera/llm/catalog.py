@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op6_bpe
+from tessera.llm.chat import op9_chat
 from tessera.llm.decontaminate import OP2_SQL, op2_decontaminate
+from tessera.llm.licenses import op10_licenses
 from tessera.llm.linededup import OP5_SQL, op5_linededup
 from tessera.llm.media import op8_media
 from tessera.llm.neardup import op3_neardup
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_media": op8_media,
+    "op9_chat": op9_chat,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES = {"op2_decontaminate": OP2_SQL, "op5_linededup": OP5_SQL}
