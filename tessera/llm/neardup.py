@@ -256,7 +256,8 @@ def join_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noq
 
 def _compare(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """h, root, links of each vertex in each square that it takes part in."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(wanted, F.col("__id").eqNullSafe(F.col("rep")))
+    # a merge join at every size: what is wanted grows with the corpus and is never broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(wanted.hint("merge"), F.col("__id").eqNullSafe(F.col("rep")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(s)
@@ -296,7 +297,7 @@ def _compare(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """docs, all columns, with the document of the smallest id of each class; rows without an id stay."""
     gone = join_classes(docs, s).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
