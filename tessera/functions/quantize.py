@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tessera.functions.metrics import norm_l2, normalize
 
 
-@F.pandas_udf("array<float>")
-def _half(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32).tolist())
-
-
 def fp16(v: Column) -> Column:
     """Values rounded to half precision. Spark has no such type, so this is an Arrow-batched UDF."""
-    return _half(v)
+
+    @F.pandas_udf("array<float>")
+    def half(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32).tolist())
+
+    return half(v)
 
 
 def _range(v: Column, steps: int) -> tuple[Column, Column, Column]:

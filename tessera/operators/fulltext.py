@@ -10,10 +10,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from tessera.schema import MAX_TOPK
 K1, B = 1.2, 0.75
 #: Terms of more bytes are left out of the standard analyzer's result, but count as positions.
 LONGEST = 255
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 # --- analyzers ----------------------------------------------------------------------------------------------------------------
 
@@ -44,13 +46,15 @@ class Analyzer:
             terms = F.transform(terms, lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         return F.transform(terms, lambda t: F.when(F.octet_length(t) <= LONGEST, t))
 
-    def terms(self, text: str) -> list[str]:
+    def positions(self, text: str) -> list[str | None]:
+        """As column(), for one text."""
         if self.tokenizer not in TOKENIZERS:
             raise NotSupported(f"tokenizer {self.tokenizer}")
-        out = TOKENIZERS[self.tokenizer][1](text)
-        if self.lowercase:
-            out = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in out]
-        return [t for t in out if len(t.encode()) <= LONGEST]
+        out = TOKENIZERS[self.tokenizer][1](text.translate(LOWER) if self.lowercase else text)
+        return [t if len(t) * 4 <= LONGEST or len(t.encode()) <= LONGEST else None for t in out]
+
+    def terms(self, text: str) -> list[str]:
+        return [t for t in self.positions(text) if t is not None]
 
 
 TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]]]] = {
@@ -366,14 +370,28 @@ def _total(parts: list[tuple[Column, Column]]) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer()) -> DataFrame:  # noqa: B008
-    """term, key, tf, positions, length: one row for each term of each document. Terms are counted inside the document, so a
-    word that every document holds is no group of its own here."""
-    tokens = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), analyzer.column(F.col(text)).alias("tokens"))
-    length = F.size(F.filter("tokens", lambda x: x.isNotNull()))
-    return tokens.select("key", "tokens", length.alias("length"), F.explode(F.array_distinct(F.filter("tokens", lambda x: x.isNotNull()))).alias("term")).select(
-        "term", "key",
-        F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == F.col("term")).alias("positions"), "length",
-    ).withColumn("tf", F.size("positions")).select("term", "key", "tf", "positions", "length")
+    """term, key, tf, positions, length: one row for each term of each document. Terms are counted inside the document, in an
+    Arrow-batched map: no shuffle, and a word that every document holds is no group of its own here."""
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                terms, rows, places, lengths = [], [], [], []
+                for row, value in enumerate(part.column(1).to_pylist()):
+                    own: dict[str, list[int]] = {}
+                    for i, t in enumerate(analyzer.positions(value)):
+                        if t is not None:
+                            own.setdefault(t, []).append(i)
+                    terms += own
+                    rows += [row] * len(own)
+                    places += own.values()
+                    lengths += [sum(map(len, own.values()))] * len(own)
+                tf = pa.array(list(map(len, places)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.int32())], names=["term", "key", "tf", "positions", "length"])
+
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"term string, key {kind.simpleString()}, tf int, positions array<int>, length int")
 
 
 def term_stats(p: DataFrame) -> DataFrame:

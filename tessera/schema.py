@@ -32,9 +32,9 @@ SCALARS: dict[str, T.DataType] = {
     "UINT32": T.LongType(), "UINT64": T.DecimalType(20, 0), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(),
 }
 ARRAYS = {f"ARRAY_{k}": T.ArrayType(v) for k, v in SCALARS.items()}
-SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType(), False)), T.StructField("values", T.ArrayType(T.FloatType(), False))])
+SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))])
 VECTORS: dict[str, T.DataType] = {
-    "VECTOR_FP32": T.ArrayType(T.FloatType(), False), "VECTOR_FP16": T.ArrayType(T.FloatType(), False), "VECTOR_INT8": T.ArrayType(T.ByteType(), False),
+    "VECTOR_FP32": T.ArrayType(T.FloatType()), "VECTOR_FP16": T.ArrayType(T.FloatType()), "VECTOR_INT8": T.ArrayType(T.ByteType()),
     "SPARSE_VECTOR_FP32": SPARSE, "SPARSE_VECTOR_FP16": SPARSE,
 }
 NUMERIC = ("INT32", "INT64", "UINT32", "UINT64", "FLOAT", "DOUBLE")

@@ -104,3 +104,15 @@ def write_arrow(df: DataFrame, path: str) -> None:
     table = df.toArrow()
     with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as out:
         out.write_table(table)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name on shared storage: under spark.checkpoint.dir, or a temporary folder where the session names none."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
