@@ -130,13 +130,11 @@ class IvfIndex:
 
     @classmethod
     def build(cls, df: DataFrame, path: str, vector: str, key: str, metric: str = "L2", n_list: int = 1024, n_iters: int = 10, seed: int = 7, max_records: int = 1_000_000) -> IvfIndex:
-        """Fit on all rows, assign every row, write by cell. Rows are dealt by (cell, hash of the key), so that a cell with a third
-        of all rows isn't one task's work."""
+        """Fit on all rows, assign every row, write by cell. Adaptive execution splits a cell that is too
+        large for one task and joins small ones."""
         centroids = kmeans(df, vector, n_list, key, n_iters, seed, metric in ("COSINE", "IP"))
         celled = assign_cells(df, centroids, vector)
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = celled.repartition(n, "cell_id", F.pmod(F.xxhash64(key), F.lit(8)))
-        dealt.write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy("cell_id").parquet(f"{path}/cells")
+        celled.hint("rebalance", "cell_id").write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy("cell_id").parquet(f"{path}/cells")
         meta = {"vector": vector, "key": key, "metric": metric, "cosine": centroids.cosine, "points": centroids.points.tolist()}
         write_text(df.sparkSession, f"{path}/centroids.json", json.dumps(meta), overwrite=True)
         return cls(df.sparkSession, path, vector, key, metric, centroids)

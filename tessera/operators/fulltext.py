@@ -405,10 +405,10 @@ def corpus_stats(docs: DataFrame, text: str, analyzer: Analyzer = Analyzer()) ->
 
 
 def write_postings(docs: DataFrame, path: str, key: str, text: str, analyzer: Analyzer = Analyzer(), buckets: int = 64) -> None:  # noqa: B008
-    """Postings by bucket of the term: a search reads the buckets of its terms only. A bucket is dealt over several tasks."""
+    """Postings by bucket of the term: a search reads the buckets of its terms only. Adaptive execution splits large buckets and
+    joins small ones."""
     p = postings(docs, key, text, analyzer).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p.repartition(n, "bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def search_postings(p: DataFrame, terms: list[str], n_docs: int, average: float, k: int, buckets: int = 64) -> DataFrame:
