@@ -5,13 +5,15 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm._shared import pieces, texts_of
 
@@ -22,7 +24,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 CHUNK, LOOKAHEAD = 1 << 16, 4
 #: Pieces longer than this many bytes pass through the merge transducer in parts; shorter ones are remembered.
 LONG = 256
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 NEVER = 1 << 60
 
 
@@ -33,11 +35,6 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Ranks(dict):
-    def __missing__(self, pair: tuple[int, int]) -> int:
-        return NEVER
-
-
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -56,22 +53,26 @@ class Codec:
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
         self.unit = [vocab[c] for c, _ in sorted(names.items(), key=lambda x: x[1])]
-        self.rank = _Ranks({(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)})
+        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
         self.joined = [vocab[a + b] for a, b in merges]
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in merges])
         self.pattern = regex.compile(PIECES)
         self.runs = [regex.compile(p) for p in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\p{White_Space}\p{L}\p{N}]+", r"\p{White_Space}+")]
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, array] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
+        self.known: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply the merge list to a sequence of units: the earliest merge first, from left to right."""
-        rank = self.rank.__getitem__
-        while len(ids) > 1:
-            best = min(map(rank, zip(ids, ids[1:])))
+        """Apply the merge list to a sequence of units: the earliest merge first, from left to right.
+
+        A merge makes only pairs that come later in the list. So a long sequence takes all places of the best pair in one pass;
+        in a short one the ranks beside a merge are all that is looked up again."""
+        rank, joined = self.rank.get, self.joined
+        while len(ids) > 64:
+            best = min(map(rank, zip(ids, ids[1:]), repeat(NEVER)))
             if best == NEVER:
-                break
-            new, out, i, last = self.joined[best], [], 0, len(ids) - 1
+                return ids
+            new, out, i, last = joined[best], [], 0, len(ids) - 1
             while i <= last:
                 if i < last and rank((ids[i], ids[i + 1])) == best:
                     out.append(new)
@@ -80,6 +81,18 @@ class Codec:
                     out.append(ids[i])
                     i += 1
             ids = out
+        ranks = list(map(rank, zip(ids, ids[1:]), repeat(NEVER)))
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            ids[i] = joined[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def transduce(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
@@ -100,32 +113,33 @@ class Codec:
             yield ids
         yield self.merge([self.unit[b] for b in held])
 
-    def _piece(self, piece: str) -> array:
+    def pack(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.packed[i] for i in ids])
+
+    def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
         if len(data) > LONG:
-            out = array("I")
             step = 4 * self.lookahead
-            for ids in self.transduce(data[i : i + step] for i in range(0, len(data), step)):
-                out.extend(ids)
-            return out
+            return b"".join(self.pack(ids) for ids in self.transduce(data[i : i + step] for i in range(0, len(data), step)))
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        ids = self.known[piece] = array("I", self.merge([self.unit[b] for b in data]))
+        unit = self.unit
+        ids = self.known[piece] = self.pack(self.merge([unit[b] for b in data]))
         return ids
 
-    def encode(self, text: str) -> Iterator[array]:
-        """Token ids of a text, in runs as they become stable."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Token ids of a text (32 bits each, little-endian), in runs as they become stable."""
         if not self.special_pattern:
             yield from self._plain(text)
             return
         for k, part in enumerate(self.special_pattern.split(text)):
             if k % 2:
-                yield array("I", [self.special[part]])
+                yield self.packed[self.special[part]]
             elif part:
                 yield from self._plain(part)
 
-    def _plain(self, text: str) -> Iterator[array]:
-        at, n, known = 0, len(text), self.known
+    def _plain(self, text: str) -> Iterator[bytes]:
+        at, n, known = 0, len(text), self.known.get
         while at < n:
             end = min(n, at + CHUNK)
             found = self.pattern.findall(text, at, end)
@@ -135,17 +149,16 @@ class Codec:
                 while found and stop > end - LOOKAHEAD:
                     stop -= len(found.pop())
                 if not found:  # a piece as long as the chunk
-                    stop = yield from self._long(text, at)
-                    at = stop
+                    at = yield from self._long(text, at)
                     continue
                 end = stop
-            out = array("I")
-            for piece in found:
-                out.extend(known.get(piece) or self._piece(piece))
-            yield out
+            runs = list(map(known, found))
+            if None in runs:
+                runs = [run or self._piece(piece) for run, piece in zip(runs, found, strict=True)]
+            yield b"".join(runs)
             at = end
 
-    def _long(self, text: str, at: int) -> Iterator[array]:
+    def _long(self, text: str, at: int) -> Iterator[bytes]:
         """A piece of at least CHUNK characters: fed to the transducer in parts. Returns where it ends."""
         run = next(m for p in self.runs if (m := p.match(text, at, at + CHUNK)) and m.end() == at + CHUNK or m and m.end() > at + CHUNK - LOOKAHEAD)
         kind, end = run.re, run.end()
@@ -154,19 +167,19 @@ class Codec:
         if kind is self.runs[3] and end < len(text) and end - at > 1:
             end -= 1  # the last white space goes with what follows
         for ids in self.transduce(text[i : min(i + CHUNK, end)].encode("utf-8", "surrogatepass") for i in range(at, end, CHUNK)):
-            yield array("I", ids)
+            yield self.pack(ids)
         return end
 
     @lru_cache(maxsize=8)  # noqa: B019
     def tail(self, kind: regex.Pattern) -> regex.Pattern:
         return regex.compile(kind.pattern.removeprefix(" ?"))
 
-    def decode(self, runs: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text of token ids, as far as it is complete: a state machine holds the bytes of an unfinished character; bytes
+    def decode(self, runs: Iterable[bytes]) -> Iterator[str]:
+        """Text of runs of token ids, as far as it is complete: a state machine holds the bytes of an unfinished character; bytes
         that no character has become U+FFFD."""
         machine, of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of
         for ids in runs:
-            yield machine.decode(b"".join([of[i] for i in ids]))
+            yield machine.decode(b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]))
         yield machine.decode(b"", True)
 
 
@@ -209,8 +222,8 @@ def encode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
                 def through(text=text or ""):
                     nonlocal n
                     for tokens in bpe.encode(text):
-                        n += len(tokens)
-                        ids.update(tokens.tobytes())  # noqa: B023
+                        n += len(tokens) // 4
+                        ids.update(tokens)  # noqa: B023
                         yield tokens
 
                 for part in bpe.decode(through()):
@@ -223,7 +236,7 @@ def encode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
