@@ -96,7 +96,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
     """Learned by plain SGD, one text a step, with a rate that falls to 0. No texts: a model that scores 0.5."""
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    out, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
     rows = []
     for t in texts:
         f = list(features(t, s))
@@ -168,7 +168,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
             x = score(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x), pa.array((x >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -246,21 +246,42 @@ def _optional(run: list[Node]) -> list[Node]:
     return out
 
 
+def _closed(run: list[Node]) -> bool:
+    """Whether a run opens what it closes and the other way round."""
+    open_tags: list[str] = []
+    for x in run:
+        if x.kind[0] == "/":
+            if not open_tags or open_tags.pop() != x.kind[1:]:
+                return False
+        elif x.kind not in ("#", "?", "+") and x.kind not in VOID:
+            open_tags.append(x.kind)
+    return not open_tags
+
+
 def _back_in_step(a: list[Node], i: int, b: list[Node], j: int, reach: int) -> tuple[int, int] | None:
-    """The fewest parts to skip on both sides so that the next ones are alike."""
+    """How many parts to skip on either side so that the next ones are alike. Best is to skip on one side only, and there a run
+    that closes what it opens; else the fewest on both sides up to a common tag."""
+    one_side = []
+    for run, at, key, pick in ((b, j, a[i].key(), lambda k: (0, k)), (a, i, b[j].key(), lambda k: (k, 0))):
+        for k in range(1, min(reach, len(run) - at)):
+            if run[at + k].key() == key:
+                one_side.append((not _closed(run[at : at + k]), k, pick(k)))
+                break
+    if one_side:
+        return min(one_side)[2]
     seen_a: dict[str, int] = {}
     seen_b: dict[str, int] = {}
     for d in range(reach):
-        if i + d < len(a):
-            seen_a.setdefault(a[i + d].key(), d)
-        if j + d < len(b):
-            seen_b.setdefault(b[j + d].key(), d)
-        if i + d < len(a) and (k := seen_b.get(a[i + d].key())) is not None:
-            return d, k
-        if j + d < len(b) and (k := seen_a.get(b[j + d].key())) is not None:
-            return k, d
         if i + d >= len(a) and j + d >= len(b):
             return None
+        if i + d < len(a) and a[i + d].kind != "#":
+            seen_a.setdefault(a[i + d].key(), d)
+            if (k := seen_b.get(a[i + d].key())) is not None:
+                return d, k
+        if j + d < len(b) and b[j + d].kind != "#":
+            seen_b.setdefault(b[j + d].key(), d)
+            if (k := seen_a.get(b[j + d].key())) is not None:
+                return k, d
     return None
 
 
