@@ -59,6 +59,7 @@ def unpack_int4(packed: Column, dimension: int) -> Column:
 
 
 def dequantize(q: Column) -> Column:
+    """Values of a stored code. q should be a column: an expression would be evaluated for every value."""
     return F.transform(q["codes"], lambda c: c.cast("double") * q["scale"] + q["bias"])
 
 

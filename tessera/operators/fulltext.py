@@ -57,15 +57,17 @@ class Analyzer:
         return [t for t in self.positions(text) if t is not None]
 
 
-TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]]]] = {
-    "standard": (lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1), lambda s: re.findall("[A-Za-z0-9]+", s)),
-    "whitespace": (lambda c: F.filter(F.split(c, "[ \t\n\x0b\f\r]+"), lambda t: t != ""), lambda s: [t for t in re.split("[ \t\n\x0b\f\r]+", s) if t]),
+#: For each tokenizer: terms of a column, terms of a text, and the characters that terms are runs of, if they are.
+TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]], str | None]] = {
+    "standard": (lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1), lambda s: re.findall("[A-Za-z0-9]+", s), "A-Za-z0-9"),
+    "whitespace": (lambda c: F.filter(F.split(c, "[ \t\n\x0b\f\r]+"), lambda t: t != ""), lambda s: [t for t in re.split("[ \t\n\x0b\f\r]+", s) if t], "^ \\t\\n\\x0B\\f\\r"),
 }
 
 
-def register_tokenizer(name: str, column: Callable[[Column], Column], words: Callable[[str], list[str]]) -> None:
-    """Add a tokenizer, e.g. a dictionary segmenter as a pandas UDF with its driver-side twin."""
-    TOKENIZERS[name] = (column, words)
+def register_tokenizer(name: str, column: Callable[[Column], Column], words: Callable[[str], list[str]], run_of: str | None = None) -> None:
+    """Add a tokenizer, e.g. a dictionary segmenter as a pandas UDF with its driver-side twin. run_of: a character class (without
+    brackets) if its terms are just the longest runs of some characters; searches are faster then."""
+    TOKENIZERS[name] = (column, words, run_of)
 
 
 # --- the query's tree -------------------------------------------------------------------------------------------------------------
@@ -306,19 +308,59 @@ def term_weight(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def _occurs(tokens: Column, phrase: tuple[str, ...]) -> Column:
-    """Whether the terms stand side by side somewhere in tokens."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - len(phrase))
-    here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(tokens, i + k) == t, F.lit(False)) for k, t in enumerate(phrase)])
-    return F.when(F.size(tokens) >= len(phrase), F.exists(starts, here)).otherwise(F.lit(False))
+class _Terms:
+    """Counts of terms in a row as Columns. Where terms are runs of characters, counts are those of a pattern in the text itself;
+    else, or where terms are stored, they come from the array of terms."""
+
+    def __init__(self, text: str, analyzer: Analyzer, tokens: str | None) -> None:
+        self.run_of = TOKENIZERS[analyzer.tokenizer][2] if tokens is None and analyzer.tokenizer in TOKENIZERS else None
+        self.text, self.any_case = F.col(text), analyzer.lowercase
+        self.tokens = F.col(tokens) if tokens else F.col("__tokens")
+        self.stored = tokens is not None
+        self.analyzer = analyzer
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        return df if self.run_of or self.stored else df.withColumn("__tokens", self.analyzer.column(self.text))
+
+    def _pattern(self, terms: tuple[str, ...]) -> Column:
+        """Terms side by side."""
+        inside = f"[{self.run_of}]"
+        outside = f"[{self.run_of[1:]}]" if self.run_of[0] == "^" else f"[^{self.run_of}]"
+        return F.lit(("(?i)" if self.any_case else "") + f"(?<!{inside})" + f"{outside}+".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms) + f"(?!{inside})")
+
+    def count(self, term: str) -> Column:
+        if self.run_of:
+            return F.regexp_count(self.text, self._pattern((term,))).cast("double")
+        return F.size(F.filter(self.tokens, lambda x: x == term)).cast("double")
+
+    def has(self, term: str) -> Column:
+        if self.run_of:
+            return F.rlike(self.text, self._pattern((term,)))
+        return F.coalesce(F.array_contains(self.tokens, term), F.lit(False))
+
+    def phrase(self, terms: tuple[str, ...]) -> Column:
+        if self.run_of:
+            return F.rlike(self.text, self._pattern(terms))
+        starts = F.sequence(F.lit(0), F.size(self.tokens) - len(terms))
+        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(self.tokens, i + k) == t, F.lit(False)) for k, t in enumerate(terms)])
+        return F.when(F.size(self.tokens) >= len(terms), F.exists(starts, here)).otherwise(F.lit(False))
+
+    def length(self) -> Column:
+        """Terms that count; the rare too long ones (in bytes) are looked for only where the text is long enough to hold one."""
+        if self.run_of:
+            runs = F.regexp_count(self.text, F.lit(f"[{self.run_of}]+"))
+            long = F.regexp_extract_all(self.text, F.lit(f"([{self.run_of}]{{{LONGEST // 4 + 1},}})"), 1)
+            too_long = F.when(F.octet_length(self.text) > LONGEST, F.size(F.filter(long, lambda t: F.octet_length(t) > LONGEST))).otherwise(0)
+            return (runs - too_long).cast("double")
+        return F.size(F.filter(self.tokens, lambda x: x.isNotNull())).cast("double")
 
 
 def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer: Analyzer = Analyzer(), where: Column | None = None, tokens: str | None = None) -> DataFrame:  # noqa: B008
     """Rows of docs with score > 0, the k best first (all, unordered, for None).
 
     BM25 over all rows with a text; the filter takes away rows, not statistics. Two passes: one aggregates the number of
-    documents, their length and each term's document frequency into a single row; the other scores each row by Columns. No
-    row is shuffled but the k best of each partition. `tokens` names a column with the terms, if it is stored.
+    documents, their length and each term's document frequency into a single row; the other scores each row that holds a term
+    by Columns. No row is shuffled but the k best of each partition. `tokens` names a column with the terms, if it is stored.
     """
     node = simplify(node)
     base = docs.where(F.col(text).isNotNull() if tokens is None else F.col(tokens).isNotNull())
@@ -327,17 +369,17 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
     if k is not None and not 0 < k <= MAX_TOPK:
         raise InvalidArgument(f"topk {k}")
     needed = terms_of(node)
-    own = base.withColumn("__tokens", analyzer.column(F.col(text)) if tokens is None else F.col(tokens))
-    frequency = lambda t: F.size(F.filter("__tokens", lambda x: x == t))
+    terms = _Terms(text, analyzer, tokens)
+    own = terms.prepared(base)
     stats = own.agg(
-        F.count("*").cast("double").alias("__n"),
-        F.coalesce(F.avg(F.size(F.filter("__tokens", lambda x: x.isNotNull())).cast("double")), F.lit(1.0)).alias("__average"),
-        *[F.coalesce(F.sum(F.array_contains("__tokens", t).cast("int")), F.lit(0)).cast("double").alias(f"__df{i}") for i, t in enumerate(needed)],
+        F.count("*").cast("double").alias("__n"), F.coalesce(F.avg(terms.length()), F.lit(1.0)).alias("__average"),
+        *[F.coalesce(F.sum(terms.has(t).cast("int")), F.lit(0)).cast("double").alias(f"__df{i}") for i, t in enumerate(needed)],
     )
     place = {t: i for i, t in enumerate(needed)}
     own = own if where is None else own.where(where)
+    own = own.where(reduce(lambda a, b: a | b, [terms.has(t) for t in needed]))
     own = own.crossJoin(F.broadcast(stats))  # one row
-    own = own.withColumns({f"__tf{i}": frequency(t).cast("double") for t, i in place.items()} | {"__length": F.size(F.filter("__tokens", lambda x: x.isNotNull())).cast("double")})
+    own = own.withColumns({f"__tf{i}": terms.count(t) for t, i in place.items()} | {"__length": terms.length()})
     average = F.when(F.col("__average") > 0, F.col("__average")).otherwise(F.lit(1.0))
 
     def weight(t: str) -> Column:
@@ -350,7 +392,7 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
             return F.col(f"__tf{place[x.text]}") > 0, weight(x.text) * x.boost
         if isinstance(x, Phrase):
             there = reduce(lambda a, b: a & b, [F.col(f"__tf{place[t]}") > 0 for t in sorted(set(x.terms))])
-            return F.when(there, _occurs(F.col("__tokens"), x.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in x.terms]) * x.boost
+            return F.when(there, terms.phrase(x.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in x.terms]) * x.boost
         if isinstance(x, Or):
             parts = [build(p) for p in x.parts]
             return reduce(lambda a, b: a | b, [m for m, _ in parts]), _total(parts) * x.boost

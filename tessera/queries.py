@@ -216,8 +216,9 @@ def knn_group_topk(spark, d):
 
 @query(knn_sql(L2, "", 10))
 def knn_refine(spark, d):
-    e, q = vectors(spark, d), stored(spark, d)
-    coarse = M.squared_l2(Q.dequantize(Q.int8(F.col("embedding"))), M.vector_lit(q))
+    q = stored(spark, d)
+    e = vectors(spark, d).withColumn("code", Q.int8(F.col("embedding")))
+    coarse = M.score("L2", Q.dequantize(F.col("code")), q)
     return short(S.refined(e, coarse, q, 10, "vec_id", "embedding", "L2", 10))
 
 
@@ -228,7 +229,7 @@ def knn_refine(spark, d):
     "SELECT vec_id, round(pow(list_distance(w, q), 2), 6) AS score FROM z ORDER BY pow(list_distance(w, q), 2), vec_id LIMIT 10"
 )
 def knn_int8(spark, d):
-    e = vectors(spark, d).withColumn("w", Q.dequantize(Q.int8(F.col("embedding"))))
+    e = vectors(spark, d).withColumn("q", Q.int8(F.col("embedding"))).withColumn("w", Q.dequantize(F.col("q")))
     return short(S.knn(e, stored(spark, d), 10, "vec_id", "w", "L2"))
 
 
