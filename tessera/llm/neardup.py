@@ -35,7 +35,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def prefix_depth(s: Settings) -> int:
     """Length to which the prefixes in the tries are shortened: from the full depth down, one hash at a time, as long as a pair
-    with Jaccard similarity at the threshold would share a prefix in some trie too rarely."""
+    with Jaccard similarity at the threshold would share a prefix in some trie too rarely. Whoever shares a longer prefix shares
+    the shortened one as well, so a join looks up this length alone."""
     d = s.depth
     while d > 1 and 1 - (1 - s.threshold**d) ** s.tries < s.recall:
         d -= 1
@@ -249,6 +250,7 @@ def join_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noq
     found = vertices.join(known, "h", "left").select(
         "h", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    found = stash(found, "classes")  # a plain table, so that adaptive execution can split a large group of copies below
     return sig.select("doc_id", "h").join(found, "h", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
