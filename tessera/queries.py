@@ -154,11 +154,11 @@ L2 = "pow(list_distance(v, q), 2)"
 
 
 def knn_sql(score: str, order: str, k: int, cond: str = "TRUE") -> str:
-    return V + f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, label, {score} AS s FROM e) WHERE {cond} ORDER BY s {order}, vec_id LIMIT {k}"
+    return V + f"SELECT vec_id, round(s, 6) + 0.0 AS score FROM (SELECT vec_id, label, {score} AS s FROM e) WHERE {cond} ORDER BY s {order}, vec_id LIMIT {k}"
 
 
 def short(df):
-    return df.select("vec_id", F.round("score", 6).alias("score"))
+    return df.select("vec_id", (F.round("score", 6) + 0.0).alias("score"))  # no negative zero
 
 
 @query(knn_sql(L2, "", 10))
@@ -273,7 +273,7 @@ def knn_rabitq(spark, d):
 
 @query(
     V + ", u AS (SELECT max(sqrt(list_inner_product(v, v))) AS top FROM e), s AS (SELECT vec_id, v, q, top, list_inner_product(v, v) / (top * top) AS n2 FROM e, u) "
-    "SELECT vec_id, round(n2 + 1 - 2 * list_inner_product(v, q) / (top * sqrt(list_inner_product(q, q))) + greatest(0, 1 - n2), 6) AS score FROM s ORDER BY list_inner_product(v, q) DESC, vec_id LIMIT 10"
+    "SELECT vec_id, round(n2 + 1 - 2 * list_inner_product(v, q) / (top * sqrt(list_inner_product(q, q))) + greatest(0, 1 - n2), 6) + 0.0 AS score FROM s ORDER BY list_inner_product(v, q) DESC, vec_id LIMIT 10"
 )
 def knn_mips(spark, d):
     e, q = vectors(spark, d), stored(spark, d)
@@ -443,7 +443,7 @@ def rerank_weighted(spark, d):
     return short(out)
 
 
-@query(TWO_SQL + "u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT vec_id, round(-min(s), 6) AS score FROM u GROUP BY vec_id ORDER BY -min(s) DESC, vec_id LIMIT 10")
+@query(TWO_SQL + "u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT vec_id, round(-min(s), 6) + 0.0 AS score FROM u GROUP BY vec_id ORDER BY -min(s) DESC, vec_id LIMIT 10")
 def rerank_callback(spark, d):
     best = lambda lists: lists["a"].unionByName(lists["b"]).groupBy("vec_id").agg((-F.min("score")).alias("score"))
     return short(R.CallbackReranker(best, 10).rerank(two_lists(spark, d), "vec_id"))
@@ -593,7 +593,7 @@ def library(spark, d) -> Collection:
     return c
 
 
-COLLECTION_KNN = knn_sql(L2, "", 10, "label > 2").replace("SELECT vec_id, round(s, 6) AS score FROM", "SELECT CAST(vec_id AS VARCHAR) AS pk, round(s, 6) AS score, label FROM")
+COLLECTION_KNN = knn_sql(L2, "", 10, "label > 2").replace("SELECT vec_id, round(s, 6) + 0.0 AS score FROM", "SELECT CAST(vec_id AS VARCHAR) AS pk, round(s, 6) + 0.0 AS score, label FROM")
 
 
 @query(COLLECTION_KNN)
