@@ -39,7 +39,7 @@ def _assigned(df: DataFrame, centroids, vector: str, cell: str) -> DataFrame:
         c = where.value
         for batch in batches:
             vectors = batch.column(at).to_pylist()
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == c.points.shape[1]]
+            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == c.points.shape[1] and None not in v]
             cells = np.full(len(vectors), -1, np.int32)
             if good:
                 cells[good] = c.distances(np.array([vectors[i] for i in good], np.float64)).argmin(1)
@@ -49,12 +49,14 @@ def _assigned(df: DataFrame, centroids, vector: str, cell: str) -> DataFrame:
 
 
 def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int = 10, seed: int = 7, cosine: bool = False, sample: int = 100_000) -> Centroids:
-    """Lloyd's algorithm. Starting points are spread out over a sample of at most `sample` rows (the smallest hashes of the key);
+    """Lloyd's algorithm; vectors of another length or with nulls take no part. Starting points are spread out over a sample of at most `sample` rows (the smallest hashes of the key);
     each round sums and counts the vectors of each cell inside the tasks, so k sums a task travel. Empty cells keep their place.
     Fewer distinct vectors than k: fewer cells."""
     own = df.select(key, vector).where(F.col(vector).isNotNull())
     rows = own.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(min(sample, 50 * k)).select(vector).collect()
-    x = np.unique(np.array([r[0] for r in rows], np.float64), axis=0) if rows else np.zeros((0, 1))
+    size = max((len(r[0]) for r in rows), default=1)
+    x = np.array([r[0] for r in rows if len(r[0]) == size and None not in r[0]], np.float64).reshape(-1, size)
+    x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     points = _spread_out(x, min(k, len(x)), rng)
     dim = points.shape[1]
@@ -65,7 +67,7 @@ def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int = 10, s
             c = now.value
             total, count = np.zeros_like(c.points), np.zeros(len(c.points), np.int64)
             for batch in batches:
-                v = np.array([a for a in batch.column(0).to_pylist() if len(a) == c.points.shape[1]], np.float64)
+                v = np.array([a for a in batch.column(0).to_pylist() if len(a) == c.points.shape[1] and None not in a], np.float64)
                 if len(v):
                     cell = c.distances(v).argmin(1)
                     if c.cosine:

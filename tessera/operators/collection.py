@@ -149,7 +149,7 @@ class Collection:
         self._m = None
 
     def stats(self) -> Stats:
-        live = self.docs()
+        live = self.docs(True)
         n = live.count()
         done = {}
         for f in self.schema.vectors:
@@ -179,21 +179,24 @@ class Collection:
 
     # --- reading -------------------------------------------------------------------------------------------------------------
 
-    def docs(self) -> DataFrame:
-        """Live documents: pk, doc_id, fields, and __segment, the file set that a row is from."""
+    def docs(self, segment: bool = False) -> DataFrame:
+        """Live documents: pk, doc_id, fields; with segment also __segment, the file set that a row is from."""
         m = self.manifest
         from pyspark.sql import types as T
 
         physical = T.StructType([T.StructField("pk", T.StringType()), T.StructField("doc_id", T.LongType()), *(T.StructField(m.physical[f.name], f.spark().dataType) for f in m.spec.fields)])
         if not m.segments:
-            raw = self.spark.createDataFrame([], physical).withColumn("__segment", F.lit(""))
+            raw = self.spark.createDataFrame([], physical)
+            place = F.lit("")
         else:
             raw = self.spark.read.schema(physical).parquet(*[f"{self.path}/data/{s}" for s in m.segments])
-            raw = raw.withColumn("__segment", F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/[^/]*$", 1))
+            place = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/[^/]*$", 1)
+        if segment:
+            raw = raw.withColumn("__segment", place)
         if m.deleted:
             gone = self.spark.read.schema("doc_id long").parquet(*[f"{self.path}/deleted/{d}" for d in m.deleted])
             raw = raw.join(gone, "doc_id", "left_anti")
-        return raw.select("pk", "doc_id", *(F.col(f"`{m.physical[f.name]}`").alias(f.name) for f in m.spec.fields), "__segment")
+        return raw.select("pk", "doc_id", *(F.col(f"`{m.physical[f.name]}`").alias(f.name) for f in m.spec.fields), *(["__segment"] if segment else []))
 
     def fetch(self, ids: str | Sequence[str], output_fields: Sequence[str] | None = None, include_vector: bool = True) -> dict[str, Doc | None]:
         ids = [ids] if isinstance(ids, str) else list(ids)
@@ -279,7 +282,8 @@ class Collection:
 
     def _one(self, q: Query, k: int, where: Column | None) -> DataFrame:
         f = q.validate(self.schema)
-        docs = self.docs()
+        known = self.manifest.indexes.get(f.name) if f.index.kind == "IVF" and not getattr(q.param, "is_linear", False) else None
+        docs = self.docs(bool(known))
         if q.by_text:
             analyzer = X.Analyzer(f.index.tokenizer_name, "lowercase" in f.index.filters)
             op = q.operator or "or"
@@ -288,8 +292,7 @@ class Collection:
         v, radius = self._vector(q, f), getattr(q.param, "radius", 0.0) or None
         if f.is_sparse:
             return S.sparse_knn(docs, v, k, "pk", f.name, where, radius)
-        known = self.manifest.indexes.get(f.name)
-        if f.index.kind == "IVF" and known and not getattr(q.param, "is_linear", False):
+        if known:
             docs = self._probed(docs, known, v, getattr(q.param, "nprobe", 10))
         return S.knn(docs, v, k, "pk", f.name, f.metric, where, radius)
 
@@ -343,7 +346,10 @@ class Collection:
         """Write rows with the fields' names under their physical ones."""
         m, name = m or self.manifest, uuid.uuid4().hex
         df = df.select("pk", "doc_id", *(F.col(f"`{f.name}`").alias(m.physical[f.name]) for f in m.spec.fields))
-        df.write.option("maxRecordsPerFile", m.spec.max_doc_count_per_segment).parquet(f"{self.path}/data/{name}")
+        out = df.write.option("maxRecordsPerFile", m.spec.max_doc_count_per_segment)
+        # Bloom filters of the keys, as large as there are keys: lookups of a few keys skip row groups
+        out = out.option("parquet.bloom.filter.enabled#pk", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        out.parquet(f"{self.path}/data/{name}")
         return name
 
     def _tombstones(self, ids: DataFrame) -> str:
@@ -540,15 +546,16 @@ class Collection:
         self._commit(self._rewritten({name: F.col(f"`{name}`").cast(SCALARS[new.type])}, altered))
 
     def optimize(self, most_deleted: float = 0.3, most_segments: int = 1) -> None:
-        """Write live rows anew without what is deleted if there is much of it or many small segments, in files of even size;
-        then make the cell indexes anew that don't cover all data."""
+        """Write live rows anew without what is deleted if there is much of it or many small segments, in files of even size
+        by ranges of the key, so that its statistics tell which files a lookup needs; then make the cell indexes anew that don't cover all data."""
         m = self._writable()
         if m.segments and (len(m.segments) > most_segments or m.deleted):
             total = self.spark.read.parquet(*[f"{self.path}/data/{s}" for s in m.segments]).count()
             live = self.docs().count()
             if len(m.segments) > most_segments or total and 1 - live / total > most_deleted:
                 n = max(1, math.ceil(live / m.spec.max_doc_count_per_segment))
-                packed = self.docs().repartition(max(n, 1), "doc_id") if n > 1 else self.docs().coalesce(max(1, min(len(m.segments), int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+                n = max(n, int(self.spark.conf.get("spark.sql.shuffle.partitions")) if live > 1_000_000 else 1)
+                packed = self.docs().repartitionByRange(n, "pk").sortWithinPartitions("pk")
                 m = replace(m, segments=(self._segment(packed),), deleted=(), indexes={})
                 self._commit(m)
                 m = self.manifest

@@ -487,7 +487,7 @@ def _customer_rows(spark, d):
 
 
 def contents(c: Collection):
-    return c.docs().drop("doc_id", "__segment")
+    return c.docs().drop("doc_id")
 
 
 CUSTOMER_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS pk, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance, c_nationkey AS nation FROM customer"

@@ -18,7 +18,7 @@ SIGN = {"L2": 1, "COSINE": 1, "IP": -1}
 
 @pytest.fixture(scope="module")
 def base(spark):
-    rows = [(i, i % 5, X[i].tolist()) for i in range(len(X))] + [(1000, 0, None), (1001, None, [1.0, 2.0])]
+    rows = [(i, i % 5, X[i].tolist()) for i in range(len(X))] + [(1000, 0, None), (1001, None, [1.0, 2.0]), (1002, 1, [None, 1.0, 1.0, 1.0, 1.0, 1.0])]
     return spark.createDataFrame(rows, "id int, g int, v array<float>").cache()
 
 
@@ -38,6 +38,14 @@ def test_knn(base, metric):
     assert np.allclose([r.score for r in out], scores(metric)[[r.id for r in out]])
 
 
+def test_vectors_without_a_score_stay_out(spark, base):
+    odd = base.where("id >= 1000")
+    assert S.knn(odd, QUERY, 5, "id", "v").count() == S.range_search(odd, QUERY, 99.0, "id", "v").count() == 0
+    queries = spark.createDataFrame([(1, QUERY)], "q int, w array<float>")
+    assert S.knn_batch(odd, queries, 5, "id", "v", "q", "w").count() == 0
+    assert S.group_topk(odd, QUERY, "g", 2, 2, "id", "v").count() == 0
+
+
 def test_cosine_of_zero_vector_is_one(base):
     assert S.knn(base.where("id = 20"), QUERY, 1, "id", "v", "COSINE").first().score == 1.0
 
