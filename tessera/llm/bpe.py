@@ -24,7 +24,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 CHUNK, LOOKAHEAD = 1 << 16, 4
 #: Pieces longer than this many bytes pass through the merge transducer in parts; shorter ones are remembered.
 LONG = 256
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 NEVER = 1 << 60
 
 
