@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ FOLLOWS = {START: (0, 1), 0: (1,), 1: (2,), 2: (1, 3), 3: (2, 3)}
 LAST = 2
 ALIASES = {"human": 1, "prompter": 1, "customer": 1, "bot": 2, "ai": 2, "gpt": 2, "model": 2, "function": 3, "developer": 0} | {r: i for i, r in enumerate(ROLES)}
 INFINITE = 1 << 40
+#: Turns of a block on average, at most.
+BLOCK_TURNS = 20_000
 
 
 @dataclass(frozen=True)
@@ -146,7 +149,7 @@ def format_turns(turns: DataFrame, costs: Costs = Costs(), partitions: int | Non
     then repaired between the states found for its ends. No task holds more of a conversation than a block.
     """
     spark = turns.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(turns.count() / BLOCK_TURNS))
     order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "mark", "tie"]
     own = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text",

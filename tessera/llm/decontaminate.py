@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import pieces, texts_of, words
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one pass over the documents broadcasts; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text whose windows one pass over the documents broadcasts (about 250 MB of a worker's memory); a
+#: larger benchmark takes several passes.
+BLOCK_BYTES = 4 << 20
 
 
 class WuManber:
@@ -57,8 +58,9 @@ class WuManber:
 def windows(items: list[tuple[int, str | None]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
     """Each run of `size` consecutive words of an item (all words of a shorter one), with the items that hold it."""
     out: dict[tuple[bytes, ...], set[int]] = {}
+    known: dict[bytes, bytes] = {}
     for item, text in items:
-        w = words(text)
+        w = [known.setdefault(x, x) for x in words(text)]
         for i in range(max(1, len(w) - size + 1) if w else 0):
             out.setdefault(tuple(w[i : i + size]), set()).add(item)
     return {k: sorted(v) for k, v in out.items()}

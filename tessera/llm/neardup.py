@@ -27,7 +27,7 @@ class Settings:
     recall: float = 0.999
     side: int = 2048
     seed: int = 11
-    block_bytes: int = 1 << 20
+    block_bytes: int = 1 << 19
 
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,31 +57,43 @@ class Shingles:
         self.s = s
         self.of_byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-    def words(self, data: bytes) -> np.ndarray:
-        """Word hashes of lower-cased bytes in which spaces part words."""
-        b = np.frombuffer(data, np.uint8)
-        inside = b != 32
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-        starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        first = np.zeros(len(b), np.int64)
-        first[starts] = starts
-        place = (np.arange(len(b)) - np.maximum.accumulate(first)).astype(np.uint64)
-        x = _mixed(self.of_byte[b] + place * ODD)
-        x[~inside] = 0
-        return _mixed(np.add.reduceat(x, starts) + (ends - starts).astype(np.uint64))
+    def words(self, data: bytes) -> Iterator[np.ndarray]:
+        """Word hashes of lower-cased bytes in which spaces part words, block by block. A word is the sum of its bytes' hashes by
+        place, so one that a block cuts is carried on as the sum so far and its length."""
+        total, length = np.uint64(0), 0
+        for at in range(0, len(data), self.s.block_bytes):
+            b = np.frombuffer(data, np.uint8, min(self.s.block_bytes, len(data) - at), at)
+            inside = b != 32
+            edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+            starts, ends = edge[::2], edge[1::2]
+            first = np.zeros(len(b), np.int64)
+            first[starts] = starts
+            place = (np.arange(len(b)) - np.maximum.accumulate(first)).astype(np.uint64)
+            goes_on = length > 0 and inside[0]
+            if goes_on:
+                place[: ends[0]] += np.uint64(length)
+            x = _mixed(self.of_byte[b] + place * ODD)
+            x[~inside] = 0
+            sums = np.add.reduceat(x, starts) if len(starts) else np.zeros(0, np.uint64)
+            sizes = (ends - starts).astype(np.uint64)
+            if goes_on:
+                sums[:1] += total
+                sizes[:1] += np.uint64(length)
+            elif length:
+                sums, sizes = np.append(total, sums), np.append(np.uint64(length), sizes)
+            total, length = np.uint64(0), 0
+            if inside[-1]:
+                total, length, sums, sizes = sums[-1], int(sizes[-1]), sums[:-1], sizes[:-1]
+            yield _mixed(sums + sizes)
+        if length:
+            yield _mixed(np.array([total], np.uint64) + np.uint64(length))
 
     def of(self, text: str | None) -> np.ndarray:
-        """The set of a text's n-gram hashes, sorted. Long texts are hashed block by block."""
+        """The set of a text's n-gram hashes, sorted."""
         data = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES)
-        parts, at, left = [], 0, np.zeros(0, np.uint64)
-        while at < len(data):
-            end = at + self.s.block_bytes
-            if end < len(data):
-                end = (data.find(b" ", end) + 1) or len(data)
-            w = np.concatenate((left, self.words(data[at:end])))
-            at = end
+        parts, left = [], np.zeros(0, np.uint64)
+        for own in self.words(data):
+            w = np.concatenate((left, own))
             if len(w) >= self.s.n:
                 k = len(w) - self.s.n + 1
                 h = np.zeros(k, np.uint64)
@@ -92,11 +104,10 @@ class Shingles:
             else:
                 left = w
         if not parts and len(left):
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for w in left:
-                    h = h * ODD + w
-            parts.append(_mixed(np.array([h], np.uint64)))
+            h = np.zeros(1, np.uint64)
+            for i in range(len(left)):
+                h = h * ODD + left[i : i + 1]
+            parts.append(_mixed(h))
         return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 

@@ -81,6 +81,9 @@ def test_blocks_make_no_difference():
     text = " ".join(f"w{i % 97}é" for i in range(3000))
     a, b = N.Shingles(N.Settings()).of(text), N.Shingles(N.Settings(block_bytes=64)).of(text)
     assert (a == b).all() and len(a) == 97
+    for text in ("x" * 1000, "ab " * 3, "", " ", "a", " a" * 64, "y" * 64 + " z", ("q" * 63 + " ") * 9):
+        sets = [N.Shingles(N.Settings(block_bytes=k)).of(text) for k in (1 << 20, 64, 7, 1)]
+        assert all((s == sets[0]).all() and len(s) == len(sets[0]) for s in sets), text
 
 
 def test_prefix_depth():
