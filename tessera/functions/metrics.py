@@ -7,7 +7,7 @@ product, greater is better.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -19,6 +19,12 @@ from tessera.errors import InvalidArgument
 DESCENDING = {"L2": False, "IP": True, "COSINE": False, "MIPSL2": False, "HAMMING": False, "EUCLIDEAN": False}
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x evaluated once. Whatever a function for array elements takes from outside is evaluated for every element,
+    and Spark may put a column's expression there; bound like this it is a value."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def vector_lit(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
@@ -53,8 +59,12 @@ def norm_l1(a: Column) -> Column:
 
 def normalize(a: Column, p: int = 2) -> Column:
     """a divided by its norm; a zero vector stays."""
-    n = norm_l2(a) if p == 2 else norm_l1(a)
-    return F.when(n == 0, _doubles(a)).otherwise(F.transform(_doubles(a), lambda x: x / n))
+
+    def divided(v: Column) -> Column:
+        norm = norm_l2(v) if p == 2 else norm_l1(v)
+        return let(norm, lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
+
+    return let(_doubles(a), divided)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -71,16 +81,16 @@ def mips_l2(a: Column, b: Column, eta: Column | float, injection: str = "spheric
     """Squared distance after the injection that turns a search for the greatest product into one for the nearest vector. eta
     scales a (all stored vectors) to norms of at most 1; b is normalised. spherical: one more value, sqrt(1 - |a|^2);
     quadratic: m more values, 0.5 - |a|^(2^i)."""
-    x, y = F.transform(_doubles(a), lambda v: v * eta), normalize(b)
-    n2 = _sum(F.transform(x, lambda v: v * v))
-    plain = squared_l2(x, y)
-    if injection == "spherical":
-        return plain + F.greatest(F.lit(0.0), 1 - n2)
-    extra, power = plain, n2
-    for _ in range(m):
-        extra = extra + (0.5 - power) * (0.5 - power)
-        power = power * power
-    return extra
+    y = normalize(b)
+
+    def distance(x: Column) -> Column:
+        n2, plain = _sum(F.transform(x, lambda v: v * v)), squared_l2(x, y)
+        if injection == "spherical":
+            return plain + F.greatest(F.lit(0.0), 1 - n2)
+        gaps = let(n2, lambda n: sum(((0.5 - F.pow(n, F.lit(2**i))) * (0.5 - F.pow(n, F.lit(2**i))) for i in range(m)), F.lit(0.0)))
+        return plain + gaps
+
+    return let(F.transform(_doubles(a), lambda v: v * eta), distance)
 
 
 def sparse_ip(indices: Column, values: Column, query: dict[int, float]) -> Column:

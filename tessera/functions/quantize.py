@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.metrics import norm_l2, normalize
+from tessera.functions.metrics import let, norm_l2, normalize
 
 
 def fp16(v: Column) -> Column:
@@ -20,17 +20,20 @@ def fp16(v: Column) -> Column:
     return half(v)
 
 
-def _range(v: Column, steps: int) -> tuple[Column, Column, Column]:
-    x = v.cast("array<double>")
-    low, high = F.array_min(x), F.array_max(x)
-    return x, low, F.when(high > low, F.lit(float(steps)) / (high - low)).otherwise(F.lit(1.0))
-
-
 def _record(v: Column, steps: int, least: int) -> Column:
     """A record's own scale and bias: struct(codes, scale, bias); the value is codes * scale + bias."""
-    x, low, scale = _range(v, steps)
-    codes = F.transform(x, lambda y: F.round((y - low) * scale + least).cast("tinyint"))
-    return F.struct(codes.alias("codes"), (1 / scale).alias("scale"), (low - least / scale).alias("bias"))
+
+    def coded(x: Column) -> Column:
+        low, high = F.array_min(x), F.array_max(x)
+        grid = F.struct(low.alias("low"), F.when(high > low, F.lit(float(steps)) / (high - low)).otherwise(F.lit(1.0)).alias("scale"))
+
+        def on_grid(g: Column) -> Column:
+            codes = F.transform(x, lambda y: F.round((y - g["low"]) * g["scale"] + least).cast("tinyint"))
+            return F.struct(codes.alias("codes"), (1 / g["scale"]).alias("scale"), (g["low"] - least / g["scale"]).alias("bias"))
+
+        return let(grid, on_grid)
+
+    return let(v.cast("array<double>"), coded)
 
 
 def int8(v: Column) -> Column:
@@ -44,58 +47,68 @@ def int4(v: Column) -> Column:
 
 def pack_int4(codes: Column) -> Column:
     """Pairs of codes -8..7 in one byte, the first in the low half; an odd last one stands alone."""
-    n = F.size(codes)
-    at = lambda i: F.coalesce(F.get(codes, i), F.lit(0).cast("tinyint")).cast("int").bitwiseAND(F.lit(15))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / 2).cast("int"))), lambda i: at(2 * i) + at(2 * i + 1) * 16)
+
+    def packed(c: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(c, i), F.lit(0).cast("tinyint")).cast("int").bitwiseAND(F.lit(15))
+        last = F.greatest(F.lit(0), F.floor((F.size(c) - 1) / 2).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: at(2 * i) + at(2 * i + 1) * 16)
+
+    return let(codes, packed)
 
 
 def unpack_int4(packed: Column, dimension: int) -> Column:
-    def code(i: Column) -> Column:
-        b = F.get(packed, F.floor(i / 2).cast("int"))
-        half = F.when(i % 2 == 0, b.bitwiseAND(F.lit(15))).otherwise(F.floor(b / 16).cast("int"))
-        return F.when(half > 7, half - 16).otherwise(half).cast("tinyint")
+    def unpacked(p: Column) -> Column:
+        def code(i: Column) -> Column:
+            b = F.get(p, F.floor(i / 2).cast("int"))
+            half = F.when(i % 2 == 0, b.bitwiseAND(F.lit(15))).otherwise(F.floor(b / 16).cast("int"))
+            return F.when(half > 7, half - 16).otherwise(half).cast("tinyint")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), code)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), code)
+    return let(packed, unpacked)
 
 
 def dequantize(q: Column) -> Column:
-    """Values of a stored code. q should be a column: an expression would be evaluated for every value."""
-    return F.transform(q["codes"], lambda c: c.cast("double") * q["scale"] + q["bias"])
+    return let(q, lambda s: F.transform(s["codes"], lambda c: c.cast("double") * s["scale"] + s["bias"]))
 
 
 def cosine_normalized(v: Column) -> Column:
     """struct(unit, norm): the unit vector for search, the norm to get the vector back."""
-    return F.struct(normalize(v).alias("unit"), norm_l2(v).alias("norm"))
+    return let(v, lambda x: F.struct(normalize(x).alias("unit"), norm_l2(x).alias("norm")))
 
 
 def revert_normalized(q: Column) -> Column:
-    return F.transform(q["unit"], lambda x: x * q["norm"])
+    return let(q, lambda s: F.transform(s["unit"], lambda x: x * s["norm"]))
 
 
 def binary(v: Column, threshold: float = 0.0, width: int = 32) -> Column:
     """Bits x >= threshold, `width` to a long, the first lowest."""
     bits = F.transform(v.cast("array<double>"), lambda x: (x >= threshold).cast("long"))
-    words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1))
-    return F.transform(words, lambda w: F.aggregate(F.reverse(F.slice(bits, w * width + 1, F.lit(width))), F.lit(0).cast("long"), lambda s, b: s * 2 + b))
+
+    def words(b: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(b) / width).cast("int") - 1))
+        return F.transform(places, lambda w: F.aggregate(F.reverse(F.slice(b, w * width + 1, F.lit(width))), F.lit(0).cast("long"), lambda s, x: s * 2 + x))
+
+    return let(bits, words)
 
 
 def unbinary(words: Column, dimension: int, width: int = 32) -> Column:
     """1 or -1 for each bit."""
     i = F.sequence(F.lit(0), F.lit(dimension - 1))
-    bit = lambda k: F.get(words, F.floor(k / width).cast("int")).bitwiseAND(F.pow(F.lit(2.0), k % width).cast("long")) != 0
-    return F.transform(i, lambda k: F.when(bit(k), F.lit(1.0)).otherwise(F.lit(-1.0)))
+    bit = lambda w, k: F.get(w, F.floor(k / width).cast("int")).bitwiseAND(F.pow(F.lit(2.0), k % width).cast("long")) != 0
+    return let(words, lambda w: F.transform(i, lambda k: F.when(bit(w, k), F.lit(1.0)).otherwise(F.lit(-1.0))))
 
 
 def mips_inject(v: Column, eta: Column | float, injection: str = "spherical", m: int = 3) -> Column:
     """Stored vectors scaled by eta to norms of at most 1, with the values that make nearest mean greatest product."""
-    x = F.transform(v.cast("array<double>"), lambda y: y * eta)
-    n2 = F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y)
-    if injection == "spherical":
-        return F.concat(x, F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - n2))))
-    powers = [n2]
-    for _ in range(m - 1):
-        powers.append(powers[-1] * powers[-1])
-    return F.concat(x, F.array(*[0.5 - p for p in powers]))
+
+    def injected(x: Column) -> Column:
+        n2 = F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y)
+        if injection == "spherical":
+            return F.concat(x, F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - n2))))
+        return let(n2, lambda n: F.concat(x, F.array(*[0.5 - F.pow(n, F.lit(2**i)) for i in range(m)])))
+
+    return let(F.transform(v.cast("array<double>"), lambda y: y * eta), injected)
 
 
 def train_global(df: DataFrame, column: str, bits: int = 8, bins: int = 2048, error: float = 1e-3) -> tuple[float, float]:

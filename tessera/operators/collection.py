@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import settings
 from tessera.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, NotSupported, PermissionDenied
 from tessera.operators import fulltext as X
 from tessera.operators import search as S
@@ -292,6 +293,9 @@ class Collection:
         v, radius = self._vector(q, f), getattr(q.param, "radius", 0.0) or None
         if f.is_sparse:
             return S.sparse_knn(docs, v, k, "pk", f.name, where, radius)
+        if known and where is not None:
+            share = docs.agg(F.avg(F.when(where, 1.0).otherwise(0.0))).first()[0] or 0.0
+            known = known if share > settings().brute_force_ratio else None  # few rows: all of them are scored
         if known:
             docs = self._probed(docs, known, v, getattr(q.param, "nprobe", 10))
         return S.knn(docs, v, k, "pk", f.name, f.metric, where, radius)

@@ -14,6 +14,7 @@ from tessera.operators import fulltext as X
 from tessera.operators import rerank as R
 from tessera.operators import search as S
 from tessera.operators.collection import Collection, Doc
+from tessera.operators.statistics import histogram
 from tessera.plans.expressions import compile_expression
 from tessera.plans.filters import where
 from tessera.schema import CollectionSpec, FieldSpec, FlatIndex, FtsIndex, IvfIndex
@@ -138,6 +139,14 @@ def scan_limit(spark, d):
     return where(table(spark, d, "orders"), "o_orderstatus = 'F'").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
+@query(
+    "WITH e AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 32 AS w FROM lineitem), b AS (SELECT CAST(least(31, floor((l_extendedprice - lo) / w)) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY bin) "
+    "SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / (sum(n) OVER ()), 6) AS share FROM b"
+)
+def column_distribution(spark, d):
+    return histogram(table(spark, d, "lineitem"), "l_extendedprice", 32).select("bin", "n", F.round("share", 6).alias("share"))
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------------
 
 
@@ -237,7 +246,8 @@ def knn_int8(spark, d):
 def knn_int4(spark, d):
     packed = Q.pack_int4(F.col("q.codes"))
     e = vectors(spark, d).withColumn("q", Q.int4(F.col("embedding"))).withColumn("p", packed)
-    e = e.withColumn("w", F.transform(Q.unpack_int4(F.col("p"), 64), lambda c: c.cast("double") * F.col("q.scale") + F.col("q.bias")))
+    back = F.struct(Q.unpack_int4(F.col("p"), 64).alias("codes"), F.col("q.scale").alias("scale"), F.col("q.bias").alias("bias"))
+    e = e.withColumn("w", Q.dequantize(back))
     return short(S.knn(e, stored(spark, d), 10, "vec_id", "w", "L2"))
 
 

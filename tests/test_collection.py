@@ -135,6 +135,8 @@ def test_indexes(c):
     c.create_index("v", IvfIndex("L2", n_list=3))
     assert c.stats().index_completeness["v"] == 1.0
     assert keys(c, Query("v", vector=[2.2, 0.0], param=IvfQueryParams(nprobe=3)), topk=3) == ["k2", "k3", "k1"]
+    assert keys(c, Query("v", vector=[0.1, 0.0], param=IvfQueryParams(nprobe=1)), topk=9, filter="n IN (5, 77)") == []
+    assert keys(c, Query("v", vector=[0.1, 0.0], param=IvfQueryParams(nprobe=1, is_linear=True)), topk=9, filter="n = 5") == ["k5"]
     c.insert(doc(8, v=[2.25, 0.0]))
     assert 0 < c.stats().index_completeness["v"] < 1
     assert keys(c, Query("v", vector=[2.2, 0.0], param=IvfQueryParams(nprobe=1)), topk=1) == ["k8"]

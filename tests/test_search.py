@@ -168,3 +168,15 @@ def test_hits_of_ivf_are_mostly_right(spark, base):
         top = set(np.argsort(s)[:5])
         found += len(top & {k for k in range(300) if near[k] in c.nearest(X[i], 6)})
     assert found / (30 * 5) > 0.9
+
+
+def test_statistics(spark):
+    from tessera.operators.statistics import histogram, latency_report, selectivity
+
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(None,)], "x double")
+    h = histogram(df, "x", 4).orderBy("bin").collect()
+    assert [r.n for r in h] == [25, 25, 25, 25] and h[-1].share == 1.0 and h[0].low == 0.0
+    assert histogram(df.limit(0), "x").count() == 0 and histogram(df.where("x = 3"), "x").first().n == 1
+    assert abs(selectivity(df, "x", 10, 59) - 0.5) < 0.03 and selectivity(df.limit(0), "x") == 0.0
+    r = latency_report(spark.createDataFrame([(0.1,), (0.3,)], "seconds double"), threads=2).first()
+    assert r.queries == 2 and abs(r.average - 0.2) < 1e-9 and abs(r.p50 - 0.2) < 1e-9 and abs(r.qps - 10) < 1e-9
