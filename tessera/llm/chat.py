@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import ceil
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ class Costs:
     insert: int = 3
 
 
+@lru_cache(maxsize=4096)
 def role_number(role: str | None) -> int | None:
     return ALIASES.get((role or "").strip().lower())
 
@@ -56,10 +58,10 @@ WAYS = _inserted()
 BEFORE = {(s, t): min((WAYS[s, x] for x in range(5) if (s, x) in WAYS and t in FOLLOWS[x]), key=len, default=None) for s in range(5) for t in range(4)}
 
 
-def choices(role: str | None, s: int, c: Costs) -> list[tuple[int, int, str, tuple[int, ...]]]:
-    """What may become of a turn after state s: cost, state after it, action, empty turns before it; the best come first for
-    equal costs: keep, merge, relabel."""
-    r = role_number(role)
+@lru_cache(maxsize=1024)
+def choices(r: int | None, s: int, c: Costs) -> list[tuple[int, int, str, tuple[int, ...]]]:
+    """What may become of a turn of role r (None: unknown) after state s: cost, state after it, action, empty turns before it; the
+    best come first for equal costs: keep, merge, relabel."""
     cost = lambda t: 0 if t == r else c.unknown if r is None else c.relabel
     out = []
     for t in range(4):
@@ -75,10 +77,11 @@ def choices(role: str | None, s: int, c: Costs) -> list[tuple[int, int, str, tup
 def block_costs(roles: list[str | None], c: Costs) -> list[list[int]]:
     """Least cost from each state before the block to each after it."""
     out = []
+    numbers = [role_number(role) for role in roles]
     for start in range(5):
         row = [INFINITE] * 5
         row[start] = 0
-        for role in roles:
+        for role in numbers:
             after = [INFINITE] * 5
             for s in range(5):
                 if row[s] < INFINITE:
@@ -109,13 +112,14 @@ def boundary_states(blocks: list[list[list[int]]], c: Costs) -> list[int]:
 
 def repair(roles: list[str | None], entry: int, leave: int, c: Costs) -> list[tuple[str, int, tuple[int, ...], int]]:
     """For each turn of a block: action, role, empty turns before it, cost; the cheapest that leads from entry to leave."""
+    numbers = [role_number(role) for role in roles]
     ahead = [[INFINITE] * 5 for _ in range(len(roles) + 1)]
     ahead[-1][leave] = 0
     for k in range(len(roles) - 1, -1, -1):
         for s in range(5):
-            ahead[k][s] = min((cost + ahead[k + 1][t] for cost, t, _, _ in choices(roles[k], s, c)), default=INFINITE)
+            ahead[k][s] = min((cost + ahead[k + 1][t] for cost, t, _, _ in choices(numbers[k], s, c)), default=INFINITE)
     out, s = [], entry
-    for k, role in enumerate(roles):
+    for k, role in enumerate(numbers):
         cost, t, action, ways = min(choices(role, s, c), key=lambda x: x[0] + ahead[k + 1][x[1]])
         out.append((action, t, ways, cost))
         s = t
