@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidArgument, NotSupported
+from tessera.functions.metrics import let
 from tessera.schema import MAX_TOPK
 
 # Fixed values of the score.
@@ -348,8 +349,8 @@ class _Terms:
     def length(self) -> Column:
         """Terms that count; the rare too long ones (in bytes) are looked for only where the text is long enough to hold one."""
         if self.run_of:
-            runs = F.regexp_count(self.text, F.lit(f"[{self.run_of}]+"))
-            long = F.regexp_extract_all(self.text, F.lit(f"([{self.run_of}]{{{LONGEST // 4 + 1},}})"), 1)
+            runs = F.regexp_count(self.text, F.lit(f"[{self.run_of}]++"))
+            long = F.regexp_extract_all(self.text, F.lit(f"(?<![{self.run_of}])([{self.run_of}]{{{LONGEST // 4 + 1},}}+)"), 1)
             too_long = F.when(F.octet_length(self.text) > LONGEST, F.size(F.filter(long, lambda t: F.octet_length(t) > LONGEST))).otherwise(0)
             return (runs - too_long).cast("double")
         return F.size(F.filter(self.tokens, lambda x: x.isNotNull())).cast("double")
@@ -359,8 +360,7 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
     """Rows of docs with score > 0, the k best first (all, unordered, for None).
 
     BM25 over all rows with a text; the filter takes away rows, not statistics. Two passes: one aggregates the number of
-    documents, their length and each term's document frequency into a single row; the other scores each row that holds a term
-    by Columns. No row is shuffled but the k best of each partition. `tokens` names a column with the terms, if it is stored.
+    documents, their length and each term's document frequency into a single row; the other scores each row by Columns. No row is shuffled but the k best of each partition. `tokens` names a column with the terms, if it is stored.
     """
     node = simplify(node)
     base = docs.where(F.col(text).isNotNull() if tokens is None else F.col(tokens).isNotNull())
@@ -377,31 +377,37 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
     )
     place = {t: i for i, t in enumerate(needed)}
     own = own if where is None else own.where(where)
-    own = own.where(reduce(lambda a, b: a | b, [terms.has(t) for t in needed]))
     own = own.crossJoin(F.broadcast(stats))  # one row
-    own = own.withColumns({f"__tf{i}": terms.count(t) for t, i in place.items()} | {"__length": terms.length()})
     average = F.when(F.col("__average") > 0, F.col("__average")).otherwise(F.lit(1.0))
 
-    def weight(t: str) -> Column:
-        i = place[t]
-        return idf(F.col("__n"), F.col(f"__df{i}")) * term_weight(F.col(f"__tf{i}"), F.col("__length"), average)
-
-    def build(x) -> tuple[Column, Column]:
-        """Whether x matches, and its score if so."""
-        if isinstance(x, Term):
-            return F.col(f"__tf{place[x.text]}") > 0, weight(x.text) * x.boost
-        if isinstance(x, Phrase):
-            there = reduce(lambda a, b: a & b, [F.col(f"__tf{place[t]}") > 0 for t in sorted(set(x.terms))])
-            return F.when(there, terms.phrase(x.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in x.terms]) * x.boost
-        if isinstance(x, Or):
-            parts = [build(p) for p in x.parts]
-            return reduce(lambda a, b: a | b, [m for m, _ in parts]), _total(parts) * x.boost
-        must, should, never = [build(p) for p in x.must], [build(p) for p in x.should], [build(p)[0] for p in x.must_not]
-        return reduce(lambda a, b: a & b, [m for m, _ in must] + [~m for m in never]), _total(must + should) * x.boost
-
-    hit, points = build(node)
-    out = own.where(hit).withColumn("score", points).where("score > 0").select(*docs.columns, "score")
-    return out if k is None else out.orderBy(F.col("score").desc(), F.col(key)).limit(k)
+    def points(row: Column) -> Column:
+        """The score of a row from its counts, null if it doesn't match."""
+
+        def weight(t: str) -> Column:
+            i = place[t]
+            return idf(F.col("__n"), F.col(f"__df{i}")) * term_weight(row[f"tf{i}"], row["length"], average)
+
+        def build(x) -> tuple[Column, Column]:
+            """Whether x matches, and its score if so."""
+            if isinstance(x, Term):
+                return row[f"tf{place[x.text]}"] > 0, weight(x.text) * x.boost
+            if isinstance(x, Phrase):
+                there = reduce(lambda a, b: a & b, [row[f"tf{place[t]}"] > 0 for t in sorted(set(x.terms))])
+                return F.when(there, terms.phrase(x.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in x.terms]) * x.boost
+            if isinstance(x, Or):
+                parts = [build(p) for p in x.parts]
+                return reduce(lambda a, b: a | b, [m for m, _ in parts]), _total(parts) * x.boost
+            must, should, never = [build(p) for p in x.must], [build(p) for p in x.should], [build(p)[0] for p in x.must_not]
+            return reduce(lambda a, b: a & b, [m for m, _ in must] + [~m for m in never]), _total(must + should) * x.boost
+
+        hit, total = build(node)
+        return F.when(hit, total)
+
+    counts = F.struct(*[terms.count(t).alias(f"tf{i}") for t, i in place.items()], terms.length().alias("length"))
+    out = own.select(*[c for c in docs.columns if c != "score"], let(counts, points).alias("score"))  # a row is counted once
+    if k is None:
+        return out.where("score > 0")
+    return out.orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).where("score > 0")
 
 
 def _total(parts: list[tuple[Column, Column]]) -> Column:
