@@ -1,4 +1,4 @@
-"""HTML extraction by wrappers: union-free regular expressions over tags, inferred from pages of one host."""
+"""HTML extraction by tags and by what all pages of a host have at the same place; union-free wrappers over tags for single pages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +44,21 @@ SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 @dataclass(slots=True)
 class Token:
     """A tag (text None) or the text of a block. symbol: the tag's name, / and the name at its end, or '#' for text.
-    main: 2 in an article, 1 in another main element; aside: whether it stands in an element that holds no main text."""
+    main: 2 in an article, 1 in another main element; aside: whether it stands in an element that holds no main text; path: a checksum
+    of the block elements around it."""
 
     symbol: str
     text: str | None = None
     main: int = 0
     aside: bool = False
+    path: int = 0
 
 
 def tokens(page: str | None) -> list[Token]:
     """The block tags and texts of a page. Inline tags only part words where the page has white space; character references are
     decoded and white space becomes one space."""
     out: list[Token] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool, int]] = []
     words: list[str] = []
 
     def flush() -> None:
@@ -62,8 +66,8 @@ def tokens(page: str | None) -> list[Token]:
             text = SPACE.sub(" ", "".join(words)).strip(" ")
             words.clear()
             if text:
-                _, main, aside = stack[-1] if stack else ("", 0, False)
-                out.append(Token("#", text, main, aside))
+                _, main, aside, path = stack[-1] if stack else ("", 0, False, 0)
+                out.append(Token("#", text, main, aside, path))
 
     def pop(names: tuple[str, ...] | list[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -113,7 +117,7 @@ def tokens(page: str | None) -> list[Token]:
                     if stack[k][0] in CLOSES[name].split():
                         pop([stack[k][0]])
                         break
-        _, main, aside = stack[-1] if stack else ("", 0, False)
+        _, main, aside, path = stack[-1] if stack else ("", 0, False, 0)
         marks = " ".join(v for x in NAMED.finditer(m[3] or "") for v in x.groups()[1:] if v).lower() if m[3] else ""
         frame = name in ASIDE and not (name == "header" and main) or bool(marks and name not in ("body", "html") and FRAME.search(HEAD.sub(" ", marks) if main else marks))
         main = max(main, MAIN.get(name, 1 if "main" in marks.split() else 0))
@@ -121,7 +125,7 @@ def tokens(page: str | None) -> list[Token]:
             out.append(Token(name, None, main, aside or frame))
         if name in VOID or (m[3] or "").endswith("/") and name in ("path", "g", "rect"):
             continue
-        stack.append((name, main, aside or frame))
+        stack.append((name, main, aside or frame, path if name in INLINE else crc32(f"/{name}".encode("utf-8", "surrogatepass"), path)))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             stop = end.start() if end else n
@@ -148,13 +152,14 @@ class Node:
     text: str | None = None
     main: int = 0
     aside: bool = False
+    path: int = 0
 
     def key(self) -> str:
         return self.kind if self.kind not in "?+" else self.kind + "(" + " ".join(p.key() for p in self.parts) + ")"
 
 
 def as_nodes(page: list[Token]) -> list[Node]:
-    return [Node(t.symbol, [], t.text, t.main, t.aside) for t in page]
+    return [Node(t.symbol, [], t.text, t.main, t.aside, t.path) for t in page]
 
 
 def _same(a: Node, b: Node) -> bool:
@@ -163,7 +168,7 @@ def _same(a: Node, b: Node) -> bool:
 
 def _merge(a: Node, b: Node) -> Node:
     """a, widened to stand for b as well; both have the same form."""
-    return Node(a.kind, [_merge(x, y) for x, y in zip(a.parts, b.parts, strict=True)], a.text if a.text == b.text else None, a.main, a.aside)
+    return Node(a.kind, [_merge(x, y) for x, y in zip(a.parts, b.parts, strict=True)], a.text if a.text == b.text else None, a.main, a.aside, a.path)
 
 
 def fold(nodes: list[Node], most: int = 8) -> list[Node]:
@@ -171,11 +176,10 @@ def fold(nodes: list[Node], most: int = 8) -> list[Node]:
     for size in range(1, most + 1):
         out, i = [], 0
         while i < len(nodes):
-            part = nodes[i : i + size]
             k = i + size
             # a text alone doesn't repeat, and a group starts with a tag that it closes
-            if size > 1 and len(part) == size and part[0].kind[0] not in "#/?+" and part[-1].kind == "/" + part[0].kind:
-                unit = part
+            if size > 1 and k <= len(nodes) and nodes[i].kind[0] not in "#/?+" and nodes[k - 1].kind == "/" + nodes[i].kind:
+                unit = part = nodes[i:k]
                 while k + size <= len(nodes) and all(_same(x, y) for x, y in zip(unit, nodes[k : k + size], strict=True)):
                     unit = [_merge(x, y) for x, y in zip(unit, nodes[k : k + size], strict=True)]
                     k += size
@@ -330,21 +334,42 @@ def expression(nodes: list[Node]) -> str:
 
 @dataclass(frozen=True)
 class Wrapper:
-    """What extraction needs of a wrapper."""
+    """What extraction needs of a host: whether its pages have texts in a main element; what stands on them at the same place, as
+    places() names it."""
 
     main: bool = False
-    frame: frozenset[str] = frozenset()
+    frame: frozenset[int] = frozenset()
+
+
+def place(path: int, text: str) -> int:
+    """A 64-bit name of a text and the block elements around it."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=path.to_bytes(4, "little")).digest(), "little", signed=True)
+
+
+def places(page: list[Token]) -> set[int]:
+    """The names of a page's texts that may be part of a frame: all but those aside and those that differ within a repeated group."""
+    found: set[int] = set()
+    todo = fold(as_nodes(page))
+    while todo:
+        x = todo.pop()
+        todo += x.parts
+        if x.kind == "#" and x.text is not None and not x.aside:
+            found.add(place(x.path, x.text))
+    return found
 
 
 def extract(page: str | None, wrapper: Wrapper = Wrapper()) -> str:  # noqa: B008
-    """Main text of a page, a block a line. If the page has an article or else a main element, or the wrapper of its host has,
-    only what stands there counts; else all text outside of menus, forms and the like, without the wrapper's constant texts."""
+    """Main text of a page, a block a line. If the page has an article or else a main element, or the pages of its host have,
+    only what stands there counts; else all text outside of menus, forms and the like. The frame of the host is left out."""
     every = tokens(page)
     found = [t for t in every if t.text is not None and not t.aside]
     near = max((t.main for t in found), default=0)
     if near or wrapper.main and any(t.main for t in every):
-        return "\n".join(t.text for t in found if t.main == near > 0)
-    return "\n".join(t.text for t in found if t.text not in wrapper.frame)
+        found = [t for t in found if t.main == near > 0]
+    if wrapper.frame and any(place(t.path, t.text) in wrapper.frame for t in found):
+        drop = places(every) & wrapper.frame
+        found = [t for t in found if t.main or place(t.path, t.text) not in drop]
+    return "\n".join(t.text for t in found)
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------------------
@@ -354,54 +379,67 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_samples(pages: DataFrame, per_host: int, most_chars: int) -> DataFrame:
-    """host and page_id of at most per_host pages of each host, at most most_chars long, chosen by a hash: a minimum for each
-    host and slot, aggregated before the shuffle, so a host with a third of all pages is no burden."""
-    h = F.xxhash64("page_id", "url")
-    return (
-        pages.where(F.col("page_id").isNotNull() & (F.length("html") <= most_chars))
-        .groupBy(host().alias("host"), F.pmod(h, F.lit(per_host)).alias("slot"))
-        .agg(F.min_by("page_id", F.struct(h, F.col("page_id"))).alias("page_id"))
-        .select("host", F.col("page_id").alias("__page"))
-    )
+#: Distinct pages of a host that must have a text at its place for it to be part of the frame: this many, and this share of all.
+FRAME_PAGES, FRAME_SHARE = 3, 0.8
 
 
-def wrappers(pages: DataFrame, per_host: int = 12, most_chars: int = 200_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """host, main, frame, expression: a wrapper for each host, inferred from a bounded sample of its pages."""
-    chosen = host_samples(pages, per_host, most_chars)
-    if chosen.count() <= broadcast_rows:
-        chosen = F.broadcast(chosen)  # counted: broadcast_rows pairs of a host and an id at most
-    texts = pages.select("page_id", "url", "html").join(chosen, (F.col("page_id") == F.col("__page")) & (host() == F.col("host")))
+def page_places(pages: DataFrame, most: int = 500_000) -> DataFrame:
+    """host, print, main, places of each page with text: a name of its texts, whether one is in a main element, places(). Copies
+    within a task mostly come once; what a task remembers of them is bounded by `most`."""
 
-    def learn(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("page_id").to_pylist(), table.column("html").to_pylist(), strict=True))
-        own = list(dict.fromkeys(h for _, h in rows if h))
-        if not own:
-            return schema.empty_table()
-        w = infer(own)
-        return pa.table([[table.column("host")[0].as_py()], [slots(w)[0]], [frame_texts(w, len(own))], [expression(w)]], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in pieces(batches):
+            out = []
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                every = tokens(page)
+                texts = [t for t in every if t.text is not None and not t.aside]
+                if not texts:
+                    continue
+                mark = place(0, "\n".join(f"{t.path} {t.text}" for t in texts))
+                if (h, mark) not in seen:
+                    if len(seen) >= most:
+                        seen.clear()
+                    seen.add((h, mark))
+                    out.append({"host": h, "print": mark, "main": any(t.main for t in texts), "places": list(places(every))})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("host", pa.string()), ("print", pa.int64()), ("main", pa.bool_()), ("places", pa.list_(pa.int64()))])
+    return pages.where("html IS NOT NULL").select(host().alias("host"), "html").mapInArrow(run, "host string, print long, main boolean, places array<long>")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, main, frame: for each host whether a page has text in a main element, and the places of texts that stand on nearly all
+    its distinct pages. All pages count, pages with the same texts once. Counts are added inside the tasks before the shuffle,
+    so a host with a third of all pages is no burden."""
+    from tessera.llm._shared import stash
 
-    schema = pa.schema([("host", pa.string()), ("main", pa.bool_()), ("frame", pa.list_(pa.string())), ("expression", pa.string())])
-    return texts.select("host", "page_id", "html").groupBy("host").applyInArrow(learn, "host string, main boolean, frame array<string>, expression string")
+    once = stash(page_places(pages).groupBy("host", "print").agg(F.first("main").alias("main"), F.first("places").alias("places")), "places")
+    hosts = once.groupBy("host").agg(F.max("main").alias("main"), F.count("*").alias("n"))
+    known = once.select(F.col("host").alias("__host"), F.explode("places").alias("place")).groupBy("__host", "place").agg(F.count("*").alias("on"))
+    known = known.where(F.col("on") >= FRAME_PAGES)
+    frames = known.join(hosts.select("host", "n"), F.col("host") == F.col("__host")).where(F.col("on") >= F.col("n") * FRAME_SHARE)
+    frames = frames.groupBy("__host").agg(F.array_sort(F.collect_list("place")).alias("frame"))  # less than two pages' worth
+    return hosts.join(frames, F.col("host") == F.col("__host"), "left").select("host", "main", F.coalesce("frame", F.array().cast("array<long>")).alias("frame"))
 
 
-def extract_pages(pages: DataFrame, per_host: int = 12, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars of each page; null pages have an empty text, pages with no url or an odd one share the host "".
 
-    One pass infers a wrapper for each host from per_host pages at most; a second one applies them, with no shuffle while the
-    wrappers, whose size is measured, take broadcast_bytes at most, and else by a join on the host that adaptive execution
+    One pass counts what stands where on all pages of each host; a second one extracts, with no shuffle while what is known of
+    the hosts, whose size is measured, takes broadcast_bytes at most, and else by a join on the host that adaptive execution
     can split.
     """
     from tessera.llm._shared import stash
 
-    learned = stash(wrappers(pages, per_host).select("host", "main", "frame"), "wrappers")
-    size = F.length("host") + F.coalesce(F.aggregate("frame", F.lit(0), lambda a, x: a + F.length(x) + 8), F.lit(0)) + 16
+    learned = stash(wrappers(pages), "wrappers")
+    size = F.length("host") + F.size("frame") * 8 + 16
     total = learned.agg(F.sum(size)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
     known = None
     if total <= broadcast_bytes:
         known = pages.sparkSession.sparkContext.broadcast({r.host: Wrapper(r.main, frozenset(r.frame)) for r in learned.collect()})
-        rows = rows.withColumns({"main": F.lit(None).cast("boolean"), "frame": F.lit(None).cast("array<string>")})
+        rows = rows.withColumns({"main": F.lit(None).cast("boolean"), "frame": F.lit(None).cast("array<long>")})
     else:
         rows = rows.join(learned, "host", "left").select("page_id", "url", "html", "host", "main", "frame")
 

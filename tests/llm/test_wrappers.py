@@ -63,3 +63,13 @@ def test_long_page():
     deep = "<div>" * 4000 + "x" + "</div>" * 4000 + "<p>y" * 2000
     assert X.extract(deep) == "\n".join(["x"] + ["y"] * 2000)
     assert X.infer([deep, deep + "<p>z"]) is not None
+
+
+def test_frame_of_all_pages(spark):
+    # copies of one text and long pages: a sample sees too few distinct pages; a heading on few of all pages is no frame
+    far = "x" * 250_000
+    rows = [(i, "http://c.example/", page("Same", "ab")) for i in range(300)] + [(1000 + i, "http://c.example/", page(f"Other {i}", "ab", "<h3>Intro</h3>" if i < 9 else "")) for i in range(30)]
+    rows += [(2000 + i, "http://long.example/", f"<div>Menu</div><p>{far}{i}") for i in range(3)]
+    out = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert out[0] == "Same\na\nb" and out[1000] == "Other 0\na\nb\nIntro" and out[1029] == "Other 29\na\nb"
+    assert out[2001] == far + "1"
