@@ -368,7 +368,7 @@ def extract(page: str | None, wrapper: Wrapper = Wrapper()) -> str:  # noqa: B00
         found = [t for t in found if t.main == near > 0]
     if wrapper.frame and any(place(t.path, t.text) in wrapper.frame for t in found):
         drop = places(every) & wrapper.frame
-        found = [t for t in found if t.main or place(t.path, t.text) not in drop]
+        found = [t for t in found if place(t.path, t.text) not in drop]
     return "\n".join(t.text for t in found)
 
 

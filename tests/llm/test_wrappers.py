@@ -65,6 +65,13 @@ def test_long_page():
     assert X.infer([deep, deep + "<p>z"]) is not None
 
 
+def test_frame_inside_an_article(spark):
+    body = "<html><body><article><h1>T{0}</h1><div>Subscribe to us</div><p>Text {0}</p></article></body></html>"
+    rows = [(i, "http://h.example/x", body.format(i)) for i in range(5)] + [(9, "http://other.example/", body.format(9))]
+    out = X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {i: f"T{i}\nText {i}" for i in range(5)} | {9: "T9\nSubscribe to us\nText 9"}
+
+
 def test_frame_of_all_pages(spark):
     # copies of one text and long pages: a sample sees too few distinct pages; a heading on few of all pages is no frame
     far = "x" * 250_000
