@@ -19,10 +19,12 @@ from tessera.llm._shared import pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Those of them whose content is text.
+TEXT = {"title": True, "textarea": True, "xmp": False}
 #: Elements that hold no main text.
-ASIDE = frozenset("head nav header footer aside form script style noscript template iframe svg canvas button select option textarea title menu dialog object audio video figure math xmp noembed noframes".split())
+ASIDE = frozenset("head nav header footer aside form script style noscript template iframe button select option textarea title menu dialog noembed noframes".split())
 #: Elements inside a line of text; all others end a block. br counts as white space.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
 #: Words in class, id or role of an element that make it part of the frame of a page.
 FRAME = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|"
@@ -129,8 +131,8 @@ def tokens(page: str | None) -> list[Token]:
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             stop = end.start() if end else n
-            if name in ("title", "textarea"):
-                words.append(entities.unescape(page[at:stop]))
+            if name in TEXT:
+                words.append(entities.unescape(page[at:stop]) if TEXT[name] else page[at:stop])
                 flush()
             stack.pop()
             out.append(Token("/" + name))
@@ -359,13 +361,12 @@ def places(page: list[Token]) -> set[int]:
 
 
 def extract(page: str | None, wrapper: Wrapper = Wrapper()) -> str:  # noqa: B008
-    """Main text of a page, a block a line. If the page has an article or else a main element, or the pages of its host have,
-    only what stands there counts; else all text outside of menus, forms and the like. The frame of the host is left out."""
+    """Main text of a page, a block a line. If the page has texts in an article or other main element, or the pages of its host have,
+    only what stands in these counts; else all text outside of menus, forms and the like. The frame of the host is left out."""
     every = tokens(page)
     found = [t for t in every if t.text is not None and not t.aside]
-    near = max((t.main for t in found), default=0)
-    if near or wrapper.main and any(t.main for t in every):
-        found = [t for t in found if t.main == near > 0]
+    if any(t.main for t in found) or wrapper.main and any(t.main for t in every):
+        found = [t for t in found if t.main]
     if wrapper.frame and any(place(t.path, t.text) in wrapper.frame for t in found):
         drop = places(every) & wrapper.frame
         found = [t for t in found if place(t.path, t.text) not in drop]

@@ -80,3 +80,13 @@ def test_frame_of_all_pages(spark):
     out = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
     assert out[0] == "Same\na\nb" and out[1000] == "Other 0\na\nb\nIntro" and out[1029] == "Other 29\na\nb"
     assert out[2001] == far + "1"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>a</p><figure><table><tr><td>1<td>2</table><figcaption>Caption</figcaption></figure><figure><pre>code</pre></figure></article>", "a\n1\n2\nCaption\ncode"),
+    ("<article><p>let <math><msup><mi>x</mi><mn>2</mn></msup></math> be</p></article>", "let x2 be"),
+    ("<main><h1>Title</h1><p>lead</p><nav>Menu</nav><article>Text</article><p>after</p></main><p>out", "Title\nlead\nText\nafter"),
+    ("<article>a<object>plain</object><svg><text>Axis</text></svg><xmp><b>x</xmp><dialog>Notice</dialog></article>", "a\nplain\nAxis\n<b>x"),
+])
+def test_nothing_lost_in_main(page, text):
+    assert X.extract(page) == text
