@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructType
 
 from tessera.functions import metrics as M
-from tessera.operators.search import knn
+from tessera.operators.search import QUERY_BLOCK_BYTES, knn
 from tessera.sources.files import read_text, write_text
 
 
@@ -153,3 +156,54 @@ class IvfIndex:
         """The k best rows of the nprobe nearest cells; as many cells as there are makes it exact."""
         cells = self.centroids.nearest(query, nprobe) if len(self.centroids.points) else []
         return knn(self.rows().where(F.col("cell_id").isin(cells)), query, k, self.key, self.vector, self.metric, where, radius).drop("cell_id")
+
+    def search_batch(self, queries: DataFrame, k: int, nprobe: int, query_key: str, query_vector: str, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+        """query_id, key, score, rank (from 1) of the k best rows of the nprobe cells nearest to each query. As knn_batch: queries
+        are broadcast in blocks whose size is counted, tasks keep k rows a query, and read only cells that a query probes."""
+        base, dim = self.rows().select(self.key, self.vector, "cell_id"), self.centroids.points.shape[1]
+        own = queries.select(query_key, query_vector).where(F.size(query_vector) == dim)
+        blocks = max(1, -(-(own.count() * (dim * 8 + 64)) // block_bytes))
+        schema = StructType().add("query_id", own.schema[query_key].dataType).add("key", base.schema[self.key].dataType).add("score", DoubleType())
+        out = None
+        for b in range(blocks):
+            part = own.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else own
+            rows = [r for r in part.collect() if None not in r[1]]  # block_bytes at most, but for the hash's unevenness
+            points = np.array([r[1] for r in rows], np.float64).reshape(len(rows), dim)
+            by_cell: dict[int, list[int]] = {}
+            for i, order in enumerate(np.argsort(self.centroids.distances(points), 1, kind="stable")[:, :nprobe] if len(rows) and dim else []):
+                for c in order.tolist():
+                    by_cell.setdefault(c, []).append(i)
+            shared = self.spark.sparkContext.broadcast(([r[0] for r in rows], points, by_cell))
+            found = base.where(F.col("cell_id").isin(list(by_cell))).mapInArrow(_probe(shared, k, self.metric, to_arrow_schema(schema)), schema)
+            out = found if out is None else out.unionByName(found)
+        better = F.col("score").desc() if M.DESCENDING[self.metric] else F.col("score").asc()
+        ranked = out.where(~F.col("score").isin(float("inf"), float("-inf"))).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(better, "key")))
+        return ranked.where(F.col("rank") <= k).select("query_id", F.col("key").alias(self.key), "score", "rank")
+
+
+def _probe(shared, k: int, metric: str, schema: pa.Schema):
+    """Of (key, vector, cell) rows the k best for each query among those in cells it probes."""
+    sign = -1.0 if M.DESCENDING[metric] else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points, by_cell = shared.value
+        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                keys, vectors, cells = (c.to_pylist() for c in batch.slice(at, 4096).columns)
+                held: dict[int, list[int]] = {}
+                for i, (v, c) in enumerate(zip(vectors, cells, strict=True)):
+                    if v is not None and c in by_cell and len(v) == points.shape[1] and None not in v:
+                        held.setdefault(c, []).append(i)
+                for c, at_rows in held.items():
+                    s = sign * M.score_matrix(metric, np.array([vectors[i] for i in at_rows], np.float64), points[by_cell[c]])
+                    for j, q in enumerate(by_cell[c]):
+                        near = s[:, j]
+                        limit = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
+                        best[q] = sorted(best[q] + [(near[i], keys[at_rows[i]]) for i in np.flatnonzero(near <= limit)])[:k]
+        for q, rows in zip(ids, best, strict=True):
+            if rows:
+                columns = [[q] * len(rows), [key for _, key in rows], [sign * float(x) for x, _ in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run

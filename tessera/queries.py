@@ -337,10 +337,16 @@ def ivf_knn_all_cells(spark, d):
     return short(index.search(stored(spark, d), 10, 16))
 
 
+#: Of 16 cells, those that ivf_knn probes: recall@10 is 0.94 or more on sf0.001, sf0.01 and sf0.1, with 11 of 16 it would be 0.9.
+NPROBE = 13
+
+
 @query()
 def ivf_knn(spark, d):
-    index = C.IvfIndex.build(vectors(spark, d), files.scratch(spark, "ivf"), "embedding", "vec_id", "L2", 16)
-    return short(index.search(stored(spark, d), 10, 4))
+    e = vectors(spark, d)
+    index = C.IvfIndex.build(e, files.scratch(spark, "ivf"), "embedding", "vec_id", "L2", 16)
+    out = index.search_batch(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"), 10, NPROBE, "q", "embedding")
+    return out.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"), "rank")
 
 
 # --- full text --------------------------------------------------------------------------------------------------------------

@@ -170,6 +170,30 @@ def test_hits_of_ivf_are_mostly_right(spark, base):
     assert found / (30 * 5) > 0.9
 
 
+def test_recall_of_the_registered_ivf(spark, sf):
+    from tessera.queries import QUERIES
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    truth = S.knn_batch(e, queries, 10, "vec_id", "embedding", "q", "embedding", "L2")
+    report = S.recall_at(QUERIES["ivf_knn"](spark, sf), truth, 10, key="vec_id").first()
+    assert report.expected == 10 * queries.count() and report.recall >= 0.9
+
+
+def test_batch_in_all_cells_is_exact(spark, base, tmp_path):
+    one = base.where("id < 300")
+    index = C.IvfIndex.build(one, f"file://{tmp_path}/ivf", "v", "id", "L2", 8)
+    queries = one.where("id % 7 = 0").select(F.col("id").alias("q"), "v")
+    want = S.knn_batch(one, queries, 5, "id", "v", "q", "v", "L2").select("query_id", "id", "rank").collect()
+    for size in (1 << 20, 1500):
+        assert sorted(index.search_batch(queries, 5, 8, "q", "v", size).select("query_id", "id", "rank").collect()) == sorted(want)
+    few = {r.q: [x.id for x in index.search(r.v, 5, 2).collect()] for r in queries.limit(4).collect()}
+    got = {}
+    for r in index.search_batch(queries, 5, 2, "q", "v").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert all(got[q] == ids for q, ids in few.items())
+
+
 def test_statistics(spark):
     from tessera.operators.statistics import histogram, latency_report, selectivity
 
