@@ -47,15 +47,16 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
-    """Compares runs of whole lines with the templates.
+    """Compares runs of words with the templates, wherever in a line they start and end, or only runs of whole lines.
 
     For a coefficient of t or more the sizes must be within a factor of t / (2 - t), and a template must share that part of its
     bigrams with the text. The second bound, on the whole text, leaves few templates; the first leaves, for each line at which a
-    run may start, the ends to try. Both are exact: no passage that reaches t is missed.
+    run may start, the ends to try. Both are exact: no passage that reaches t is missed. Runs of words need only start and end with
+    a bigram of the template, as any other at an end lowers the coefficient.
     """
 
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> None:
-        self.t = threshold
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, within_lines: bool = False) -> None:
+        self.t, self.within_lines = threshold, within_lines
         self.share = threshold / (2 - threshold)
         self.templates = [(name, Counter(bigrams(words(text)))) for name, text in templates]
         self.every = set().union(*(c for _, c in self.templates))
@@ -74,10 +75,9 @@ class Scanner:
                 if 0 < at < len(flat) and (x := (flat[at - 1], flat[at])) in self.every:
                     found[x] += 1
         best: dict[str, tuple[float, int, int]] = {}
-        for name, template in self.templates:
+        likely = [(name, x) for name, x in self.templates if sum(min(n, found[y]) for y, n in x.items()) >= self.share * x.total()]
+        for name, template in [] if self.within_lines else likely:
             size = template.total()
-            if sum(min(n, found[x]) for x, n in template.items()) < self.share * size:
-                continue
             low, high = self.share * size, size / self.share
             known = [any(x in template for x in bigrams(w)) or bool(w) and (w[0] in {k for x in template for k in x}) for w in lines]
             for i, start in enumerate(known):
@@ -92,8 +92,36 @@ class Scanner:
                         d = dice(Counter(bigrams(run)), template)
                         if d >= self.t and (d, -i, -j) > ((b := best.get(name, (0.0, 0, 0)))[0], -b[1], -b[2]):
                             best[name] = (d, i, j)
+        if self.within_lines and likely:
+            line = [i for i, w in enumerate(lines) for _ in w]
+            pairs = bigrams(flat)
+            for name, template in likely:
+                for d, i, j in self.word_runs(pairs, template):
+                    a, b = line[i], line[min(j + 1, len(line) - 1)]
+                    if (d, -a, -b) > ((x := best.get(name, (0.0, 0, 0)))[0], -x[1], -x[2]):
+                        best[name] = (d, a, b)
         return sorted(((n, *b) for n, b in best.items()), key=lambda x: (-x[1], x[0]))
 
+    def word_runs(self, pairs: list[tuple[bytes, bytes]], template: Counter) -> Iterator[tuple[float, int, int]]:
+        """Coefficient, first and last bigram of the runs that reach t."""
+        size = template.total()
+        high = int(size / self.share + 1e-9)
+        known = [k for k, x in enumerate(pairs) if x in template]
+        for at, i in enumerate(known):
+            seen: Counter = Counter()
+            same = 0
+            for k in range(at, min(at + high, len(known))):
+                j = known[k]
+                if j - i >= high:
+                    break
+                x = pairs[j]
+                seen[x] += 1
+                if seen[x] <= template[x]:
+                    same += 1
+                    d = 2 * same / (j - i + 1 + size)
+                    if d >= self.t:
+                        yield d, i, j
+
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, n_licenses, licenses (SPDX names, the best first, comma-joined), best_license, best_dice,
@@ -102,7 +130,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     schema = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("best_license", pa.string()), ("best_dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, threshold)
+        scanner = Scanner(templates, threshold, within_lines=True)
         for batch in pieces(batches):
             out = []
             for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):

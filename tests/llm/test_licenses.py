@@ -51,3 +51,34 @@ def test_table(spark, sf):
         notices = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
         want = {n for line, n in notices.items() if line in (docs[r.doc_id] or "").split("\n")}
         assert set(filter(None, r.licenses.split(","))) == want
+
+
+def test_notice_inside_a_line(spark):
+    scanner = C.Scanner(within_lines=True)
+    assert scanner.find("Intro.\nThis file is part of Foo. Licensed under the Apache License, Version 2.0.")[0] == ("Apache-2.0", 1.0, 1, 1)
+    name, d, a, b = scanner.find("The code is released under the MIT License.")[0]
+    assert (name, d, a, b) == ("MIT", 1.0, 0, 0)
+    one_line = "word " * 500 + " ".join(C.TEMPLATES[3][1].split()) + " word" * 500
+    assert scanner.find(one_line)[0][:2] == ("MIT", 1.0)
+    out = C.scan(spark.createDataFrame([(1, "Foo is licensed under CC BY-NC 4.0. Enjoy.")], "doc_id long, text string")).first()
+    assert (out.licenses, out.best_dice) == ("CC-BY-NC-4.0", 1.0)
+
+
+def test_all_runs_of_words():
+    r, scanner = random.Random(2), C.Scanner(within_lines=True)
+    for k in range(60):
+        name, template = C.TEMPLATES[[0, 2, 5, 7, 11, 12][k % 6]]
+        w = words(template)
+        if k % 3:
+            w[r.randrange(len(w))] = b"other"
+        noise = [[r.choice([b"under", b"the", b"license", b"licensed"]) for _ in range(r.randint(0, 9))] for _ in range(2)]
+        own = noise[0] + w + noise[1]
+        want = {}
+        for n, x in C.TEMPLATES:
+            b = Counter(C.bigrams(words(x)))
+            for i in range(len(own)):
+                for j in range(i + 1, len(own) + 1):
+                    d = C.dice(Counter(C.bigrams(own[i:j])), b)
+                    if d >= C.THRESHOLD:
+                        want[n] = max(want.get(n, 0), d)
+        assert {n: round(d, 9) for n, d, _, _ in scanner.find(b" ".join(own).decode())} == {n: round(d, 9) for n, d in want.items()}
