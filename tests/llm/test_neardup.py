@@ -56,10 +56,10 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("side", [2048, 4])
-def test_against_all_pairs(spark, rows, side):
+@pytest.mark.parametrize("settings", [{}, {"side": 4}, {"side_bytes": 2048}])
+def test_against_all_pairs(spark, rows, settings):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = N.join_classes(docs, N.Settings(side=side))
+    got = N.join_classes(docs, N.Settings(**settings))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
@@ -86,12 +86,82 @@ def test_blocks_make_no_difference():
         assert all((s == sets[0]).all() and len(s) == len(sets[0]) for s in sets), text
 
 
-def test_prefix_depth():
+def test_least_depth():
     s = N.Settings()
-    d = N.prefix_depth(s)
+    d = N.least_depth(s)
     assert 1 - (1 - 0.8**d) ** s.tries >= s.recall > 1 - (1 - 0.8 ** (d + 1)) ** s.tries
 
 
+def test_trie_links_join_whoever_shares_a_prefix(spark):
+    """Every prefix of least_depth levels or more makes a connected group at its level, whatever partitions it is cut into."""
+    s, r = N.Settings(tries=3, recall=0.5), random.Random(6)
+    s = N.Settings(tries=3, recall=1 - (1 - 0.8**4) ** 3 - 1e-9)
+    floor = N.least_depth(s)
+    assert floor == 4
+    keys = {v: [(t << 56) | sum(r.choice((0, 200)) << 8 * (6 - j) for j in range(7)) for t in range(3)] for v in range(400)}
+    vertices = spark.createDataFrame(list(keys.items()), "v long, keys array<long>")
+    links = [tuple(x) for x in N.trie_links(vertices, s).collect()]
+    assert len(links) <= 3 * len(keys)
+    for d in range(floor, 8):
+        parent = list(range(400))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for u, v, depth in links:
+            shared = max(k for t in range(3) for k in range(8) if (keys[u][t] ^ keys[v][t]) >> 8 * (7 - k) == 0)
+            assert shared >= depth >= floor
+            if depth >= d:
+                parent[root(u)] = root(v)
+        for t in range(3):
+            heads = {}
+            for v in keys:
+                other = heads.setdefault(keys[v][t] >> 8 * (7 - d), v)
+                assert root(v) == root(other), (d, t)
+
+
+def test_prefixes_shorten_until_the_recall_is_met(spark):
+    s = N.Settings()
+    every_trie = [(2 * k, 2 * k + 1, 7) for k in range(50) for _ in range(s.tries)]
+    one_trie = [(1000 + 2 * k, 1001 + 2 * k, 7) for k in range(50)]
+    df = lambda rows: spark.createDataFrame(rows, "u long, v long, depth int")
+    assert N.shortened(df(every_trie), s) == 7 > N.least_depth(s)
+    assert N.shortened(df(every_trie + one_trie), s) == N.least_depth(s) == N.shortened(df([]), s)
+
+
+def test_many_rows_without_an_id(spark):
+    """10,000 rows without an id, each of its own text but for one pair in a hundred, and a text that 3,000 rows share."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(k) + (" and more" if k % 100 == 1 else "")) for k in range(7000)]
+    rows = [(None, text(k - 1) + " and more") if k % 100 == 1 else (i, t) for k, (i, t) in enumerate(rows)] + [(None, "the same text for all of these rows")] * 3000
+    got = N.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("class_id", "n_links").count().collect()
+    assert {(r.class_id, r.n_links): r["count"] for r in got} == {(None, 0): 7000 - 140, (None, 1): 140, (None, 2999): 3000}
+
+
+def test_clashing_columns(spark, rows):
+    docs = spark.createDataFrame([(i, t, 1, b"x", "y", 3) for i, t in rows[:60]], "doc_id long, text string, v int, name binary, __id string, g int")
+    assert sorted(map(tuple, N.join_classes(docs).collect()), key=str) == brute(rows[:60])
+    assert N.keep_one(docs).columns == docs.columns
+
+
+def test_recall_on_a_table(spark):
+    """Every row whose id is divisible by 50 against all rows of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sh = N.Shingles(N.Settings())
+    sets = {r.doc_id: set(sh.of(r.text).tolist()) for r in rows}
+    found = {r.doc_id: r for r in N.join_classes(docs).collect()}
+    links = want = 0
+    for q in (i for i in sets if i % 50 == 0 and sets[i]):
+        near = [i for i, x in sets.items() if i != q and x and len(x & sets[q]) >= 0.8 * len(x | sets[q])]
+        want += len(near)
+        links += found[q].n_links
+        assert all(found[i].class_id == found[q].class_id for i in near)
+    assert links == want > 0
+
+
 def test_links_within():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 30, r.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
