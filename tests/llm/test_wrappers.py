@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from tessera.llm import wrappers as X
@@ -31,10 +34,89 @@ def page(title, items, extra=""):
 
 def test_inference():
     w = X.infer([page("A", "123"), page("B", "45", "<p>more</p>"), page("C", "6789")])
-    text = X.expression(w)
+    text = X.expression(w.root)
     assert "(<li> #text </li>)+" in text and "(<p> 'more' </p>)?" in text and "'Welcome to the site'" in text and "<h2> #text </h2>" in text
-    assert X.frame_texts(w, 3) == ["All rights", "Welcome to the site"] and X.frame_texts(w, 2) == []
-    assert X.infer([]) is None
+    assert frame(w) == ["All rights", "Welcome to the site"] and frame(X.infer([page("A", "1"), page("B", "2")])) == []
+    assert X.infer([]) is None and X.Wrapper.load(w.dump()) == w  # what a task hands over is whole
+
+
+def frame(w):
+    todo, found = [w.root], []
+    while todo:
+        x = todo.pop()
+        todo += x.parts
+        found += [x.text] if x.kind == "#" and X.label(x, w) == "frame" else []
+    return sorted(found)
+
+
+def as_pattern(x):
+    """A wrapper as a regular expression over the symbols of a page: the language by brute force."""
+    inside = "".join(map(as_pattern, x.parts))
+    inside = f"(?:{inside})*" if x.free else inside
+    body = "#;" if x.kind == "#" else inside if x.kind == "(" else f"{x.kind};{inside}/{x.kind};"
+    return f"(?:{body}){'*' if x.opt and x.repeat else '+' if x.repeat else '?' if x.opt else ''}"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_page_belongs_to_the_language_of_its_wrapper(seed):
+    r = random.Random(seed)
+
+    def body(depth):
+        out = ""
+        for _ in range(r.randint(0, 5 if depth < 3 else 2)):
+            tag = r.choice(["div", "p", "section", "h2", "ul", "table"][: 6 if depth < 3 else 2])
+            out += f"<{tag}>{r.choice(['', 'x', 'y', body(depth + 1) if depth < 3 and tag != 'p' else 'z'])}</{tag}>" if r.random() < 0.8 else r.choice(["t ", "u "])
+        return out
+
+    pages = [f"<body><div>{body(0)}</div>{body(1)}</body>" for _ in range(25)]
+    whole, halves = X.infer(pages), [X.infer(pages[:9]), X.infer(pages[9:])]
+    halves[0].take(X.Wrapper.load(halves[1].dump()))
+    for w in (whole, halves[0]):
+        language = re.compile(as_pattern(w.root))
+        for p in pages:
+            tokens = X.tokens(p)
+            assert language.fullmatch("html;" + "".join(t.symbol + ";" for t in tokens) + "/html;"), (p, X.expression(w.root))
+            own = X.Wrapper.of(tokens, True)
+            met = [k for y, _ in X.match([w.root], [own.root]) for k in y.src]
+            assert sorted(met) == [k for k, t in enumerate(tokens) if t.text is not None]
+
+
+def test_many_kinds_of_parts_come_in_any_order():
+    kinds = [f"<x-{k}>{k}</x-{k}>" for k in range(100)]
+    pages = ["".join(random.Random(k).sample(kinds, 60)) for k in range(4)]
+    w = X.infer(pages)
+    assert w.root.free and all(re.fullmatch(as_pattern(w.root), "html;" + "".join(t.symbol + ";" for t in X.tokens(p)) + "/html;") for p in pages)
+    flood = ["".join(f"<div><x-{a}><y-{b}>{c}</y-{b}></x-{a}></div>" for a in range(40) for b in range(40)) for c in range(2)]
+    w = X.infer(flood)
+    assert X.size(w.root) <= 2 * X.MOST_NODES and X.extract(flood[1], w).count("1") == 1600
+
+
+def test_the_wrapper_decides(spark):
+    """A host whose pages have neither main elements nor telling names: without its wrapper all of its frame would stay."""
+    body = "<html><body><div>Daily Herald</div><div><a href=1>Start</a><a href=2>World</a></div><div><h2>Title {0}</h2><p>Text {0}</p>{1}</div><div>Imprint</div></body></html>"
+    quote = "<blockquote>Imprint</blockquote>"  # the same text at another place is no frame
+    rows = [(i, "http://h.example/x", body.format(i, quote if i == 3 else "")) for i in range(6)]
+    out = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Title {i}\nText {i}" + ("\nImprint" if i == 3 else "") for i in range(6)}
+    assert X.extract(rows[0][2]) == "Daily Herald\nStartWorld\nTitle 0\nText 0\nImprint"
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<article><div class="related-work"><p>real text</p></div><p class="share">and more</p></article>', "real text\nand more"),
+    ('<div class="page-header"><h1>Title</h1></div><div class="social-science"><p>body</p></div>', "Title\nbody"),
+    ('<article><p>t</p><div class="share"><a href=1>Share this</a></div></article>', "t"),
+    ('<div class="header">Site</div><p>t</p><div class="notice">We use cookies</div>', "t"),
+    ("<b>" * 30 + "x</b></b>y" + "</b>" * 40 + "<p>z</i></b>", "xy\nz"), ("<svg><path d=''/><g/></svg><p>x", "x"),
+])
+def test_names_are_evidence(page, text):
+    assert X.extract(page) == text
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(7, "http://r.example/a", "<div>Menu</div><p>same")] * 5000 + [(k, "http://r.example/b", f"<div>Menu</div><p>own {k}") for k in range(100, 110)]
+    docs = spark.createDataFrame([(*r, "w", 1, 2) for r in rows], "page_id long, url string, html string, wrapper string, task int, host int").repartition(6)
+    out = X.extract_pages(docs).groupBy("page_id", "text").count().collect()
+    assert {(r.page_id, r.text, r["count"]) for r in out} == {(7, "same", 5000)} | {(k, f"own {k}", 1) for k in range(100, 110)}
 
 
 def test_frame_goes(spark):
@@ -65,6 +147,11 @@ def test_long_page():
     assert X.infer([deep, deep + "<p>z"]) is not None
 
 
+def test_a_list_that_never_changes_is_a_menu():
+    pages = [page(f"T{k}", ["Home", "News"], f"<ul><li>x{k}<li>y</ul>") for k in range(4)]
+    assert X.extract(pages[2], X.infer(pages)) == "T2\nx2\ny"
+
+
 def test_frame_inside_an_article(spark):
     body = "<html><body><article><h1>T{0}</h1><div>Subscribe to us</div><p>Text {0}</p></article></body></html>"
     rows = [(i, "http://h.example/x", body.format(i)) for i in range(5)] + [(9, "http://other.example/", body.format(9))]
@@ -75,10 +162,10 @@ def test_frame_inside_an_article(spark):
 def test_frame_of_all_pages(spark):
     # copies of one text and long pages: a sample sees too few distinct pages; a heading on few of all pages is no frame
     far = "x" * 250_000
-    rows = [(i, "http://c.example/", page("Same", "ab")) for i in range(300)] + [(1000 + i, "http://c.example/", page(f"Other {i}", "ab", "<h3>Intro</h3>" if i < 9 else "")) for i in range(30)]
+    rows = [(i, "http://c.example/", page("Same", "ab")) for i in range(300)] + [(1000 + i, "http://c.example/", page(f"Other {i}", f"a{i}", "<h3>Intro</h3>" if i < 9 else "")) for i in range(30)]
     rows += [(2000 + i, "http://long.example/", f"<div>Menu</div><p>{far}{i}") for i in range(3)]
     out = {r.page_id: r.text for r in X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert out[0] == "Same\na\nb" and out[1000] == "Other 0\na\nb\nIntro" and out[1029] == "Other 29\na\nb"
+    assert out[0] == "Same\na\nb" and out[1000] == "Other 0\na\n0\nIntro" and out[1029] == "Other 29\na\n2\n9"
     assert out[2001] == far + "1"
 
 
