@@ -20,10 +20,11 @@ from tessera.llm._shared import pieces, texts_of
 #: Fixed value: the public pattern by which byte-level BPE vocabularies of this kind split a text before merging.
 #: \s is spelled out as the White_Space property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Characters of a text that are looked at together, and characters after a piece that may still change where it ends.
+#: Characters of a text that are fed at a time, and characters after a piece that may still change where it ends.
 CHUNK, LOOKAHEAD = 1 << 16, 4
-#: Pieces longer than this many bytes pass through the merge transducer in parts; shorter ones are remembered.
+#: A piece that is still unfinished at this many characters is fed on as it comes; others are fed whole.
 LONG = 256
+#: Pieces whose tokens are remembered.
 REMEMBERED = 600_000
 NEVER = 1 << 60
 
@@ -57,8 +58,10 @@ class Codec:
         self.joined = [vocab[a + b] for a, b in merges]
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in merges])
         self.pattern = regex.compile(PIECES)
-        self.runs = [regex.compile(p) for p in (r" ?\p{L}+", r" ?\p{N}+", r" ?[^\p{White_Space}\p{L}\p{N}]+", r"\p{White_Space}+")]
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        kinds = (r"\p{L}+", r"\p{N}+", r"[^\p{White_Space}\p{L}\p{N}]+", r"\p{White_Space}+")
+        self.runs = [(regex.compile(p if k == 3 else " ?" + p), regex.compile(p), k == 3) for k, p in enumerate(kinds)]
+        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special_reach = max(map(len, self.special), default=1) - 1
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
         self.known: dict[str, bytes] = {}
 
@@ -95,84 +98,16 @@ class Codec:
                 ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
         return ids
 
-    def transduce(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens of one piece that arrives in parts. A token is emitted once `lookahead` bytes follow it: no later byte can
-        then change it. What is held never exceeds the lookahead, one part and one token."""
-        held = b""
-        for part in parts:
-            held += part
-            if len(held) < 4 * self.lookahead:
-                continue
-            stable, ids, n = len(held) - self.lookahead, [], 0
-            for i in self.merge([self.unit[b] for b in held]):
-                if n + len(self.bytes_of[i]) > stable:
-                    break
-                ids.append(i)
-                n += len(self.bytes_of[i])
-            held = held[n:]
-            yield ids
-        yield self.merge([self.unit[b] for b in held])
-
     def pack(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.packed[i] for i in ids])
 
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) > LONG:
-            step = 4 * self.lookahead
-            return b"".join(self.pack(ids) for ids in self.transduce(data[i : i + step] for i in range(0, len(data), step)))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        unit = self.unit
-        ids = self.known[piece] = self.pack(self.merge([unit[b] for b in data]))
-        return ids
-
     def encode(self, text: str) -> Iterator[bytes]:
         """Token ids of a text (32 bits each, little-endian), in runs as they become stable."""
-        if not self.special_pattern:
-            yield from self._plain(text)
-            return
-        for k, part in enumerate(self.special_pattern.split(text)):
-            if k % 2:
-                yield self.packed[self.special[part]]
-            elif part:
-                yield from self._plain(part)
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        at, n, known = 0, len(text), self.known.get
-        while at < n:
-            end = min(n, at + CHUNK)
-            found = self.pattern.findall(text, at, end)
-            if end < n:
-                # A piece counts only if enough follows inside the chunk; the others are found again in the next chunk.
-                stop = end
-                while found and stop > end - LOOKAHEAD:
-                    stop -= len(found.pop())
-                if not found:  # a piece as long as the chunk
-                    at = yield from self._long(text, at)
-                    continue
-                end = stop
-            runs = list(map(known, found))
-            if None in runs:
-                runs = [run or self._piece(piece) for run, piece in zip(runs, found, strict=True)]
-            yield b"".join(runs)
-            at = end
-
-    def _long(self, text: str, at: int) -> Iterator[bytes]:
-        """A piece of at least CHUNK characters: fed to the transducer in parts. Returns where it ends."""
-        run = next(m for p in self.runs if (m := p.match(text, at, at + CHUNK)) and m.end() == at + CHUNK or m and m.end() > at + CHUNK - LOOKAHEAD)
-        kind, end = run.re, run.end()
-        while end < len(text) and (more := self.tail(kind).match(text, end, end + CHUNK)) and more.end() > end:
-            end = more.end()
-        if kind is self.runs[3] and end < len(text) and end - at > 1:
-            end -= 1  # the last white space goes with what follows
-        for ids in self.transduce(text[i : min(i + CHUNK, end)].encode("utf-8", "surrogatepass") for i in range(at, end, CHUNK)):
-            yield self.pack(ids)
-        return end
-
-    @lru_cache(maxsize=8)  # noqa: B019
-    def tail(self, kind: regex.Pattern) -> regex.Pattern:
-        return regex.compile(kind.pattern.removeprefix(" ?"))
+        stream = Encoder(self)
+        last = max(0, len(text) - 1) // CHUNK * CHUNK
+        for at in range(0, last, CHUNK):
+            yield stream.push(text[at : at + CHUNK])
+        yield stream.push(text[last:] if last else text, last=True)
 
     def decode(self, runs: Iterable[bytes]) -> Iterator[str]:
         """Text of runs of token ids, as far as it is complete: a state machine holds the bytes of an unfinished character; bytes
@@ -183,6 +118,120 @@ class Codec:
         yield machine.decode(b"", True)
 
 
+class Transducer:
+    """The tokens of one piece, whose bytes come in parts. A token is emitted once `lookahead` bytes follow it: no later byte can then
+    change it. What is held never exceeds four lookaheads and one part."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.held = codec, b""
+
+    def push(self, part: bytes) -> bytes:
+        codec = self.codec
+        self.held += part
+        if len(self.held) < 4 * codec.lookahead:
+            return b""
+        stable, n, out = len(self.held) - codec.lookahead, 0, []
+        for i in codec.merge([codec.unit[b] for b in self.held]):
+            if n + len(codec.bytes_of[i]) > stable:
+                break
+            out.append(i)
+            n += len(codec.bytes_of[i])
+        self.held = self.held[n:]
+        return codec.pack(out)
+
+    def end(self) -> bytes:
+        """The piece is whole: all the rest is stable."""
+        codec, held, self.held = self.codec, self.held, b""
+        return codec.pack(codec.merge([codec.unit[b] for b in held]))
+
+
+class Encoder:
+    """A text in parts of any size, to token ids as they become stable: the one way by which texts are encoded.
+
+    What is held: characters in which a special token may still be open, characters that don't yet make a piece (fewer than LONG
+    + LOOKAHEAD besides the part), and the Transducer's bytes. A piece goes through the Transducer, whole once it is known to
+    end, or, from LONG characters on, as it comes. What the Transducer made of a whole piece is remembered.
+    """
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.inner = codec, Transducer(codec)
+        self.open = ""  # may still be part of a special token
+        self.text = ""  # not yet cut into pieces
+        self.run: tuple | None = None  # the kind of the piece that is fed as it comes
+        self.bytes = codecs.getincrementaldecoder("utf-8")("surrogatepass")
+
+    def holds(self) -> int:
+        return len(self.open) + len(self.text) + len(self.inner.held)
+
+    def push(self, part: str | bytes, last: bool = False) -> bytes:
+        """Ids that are stable after this part; all, if it is the last."""
+        part = self.bytes.decode(part, last) if isinstance(part, bytes) else part
+        codec = self.codec
+        if not codec.special_pattern:
+            return b"".join(self._feed(part, last))
+        text, out, at = self.open + part, [], 0
+        for m in codec.special_pattern.finditer(text):
+            out += self._feed(text[at : m.start()], True)
+            out.append(codec.packed[codec.special[m[0]]])
+            at = m.end()
+        stop = len(text) if last else max(at, len(text) - codec.special_reach)
+        self.open = text[stop:]
+        out += self._feed(text[at:stop] if at or self.open else text, last)
+        return b"".join(out)
+
+    def _feed(self, part: str, last: bool) -> list[bytes]:
+        """Cut into pieces; last: the text, or what comes before a special token, ends here."""
+        text, out, known = self.text + part if self.text else part, [], self.codec.known.get
+        while True:
+            if self.run:
+                more, text = self._go_on(text, last)
+                out.append(more)
+                if self.run:
+                    break
+            found = self.codec.pattern.findall(text)
+            if last:
+                text = ""
+            else:
+                # a piece counts only if enough follows; the others are found again
+                stop = len(text)
+                while found and stop > len(text) - LOOKAHEAD:
+                    stop -= len(found.pop())
+                text = text[stop:]
+            pieces_ = list(map(known, found))
+            out += [ids or self._whole(piece) for ids, piece in zip(pieces_, found, strict=True)] if None in pieces_ else pieces_
+            if len(text) < LONG:
+                break
+            self.run = next(r for r in self.codec.runs if (m := r[0].match(text)) and m.end() > len(text) - LOOKAHEAD)
+            head = 0 if self.run[2] else 1  # one character at least, and a space before other kinds
+            out.append(self.inner.push(text[:head].encode("utf-8", "surrogatepass")))
+            text = text[head:]
+        self.text = text
+        return out
+
+    def _go_on(self, text: str, last: bool) -> tuple[bytes, str]:
+        """Feed what goes on with the long piece; its tokens, and the text that is left."""
+        _, kind, blank = self.run
+        m = kind.match(text)
+        end = m.end() if m else 0
+        over = end < len(text) or last
+        # the last white space goes with what follows, if anything does
+        stop = end - 1 if blank and end and not (last and end == len(text)) else end
+        out = self.inner.push(text[:stop].encode("utf-8", "surrogatepass"))
+        if over:
+            out += self.inner.end()
+            self.run = None
+        return out, text[stop:]
+
+    def _whole(self, piece: str) -> bytes:
+        known = self.codec.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        out = self.inner.push(piece.encode("utf-8", "surrogatepass")) + self.inner.end()
+        if len(piece) <= LONG:
+            known[piece] = out
+        return out
+
+
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes after a token that suffice to fix it.
 
@@ -205,17 +254,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """One row a document: doc_id, n_tokens, sha256 of its ids (little-endian 32 bits) and of the text they decode to.
+def encode_digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_tokens, sha256 of its ids (little-endian 32 bits) and of the text they decode to, and, if asked for,
+    the ids themselves.
 
-    Null is an empty text: no tokens. No shuffle; ids are digested and decoded run by run, so a text of any length needs
-    constant memory besides itself. Other columns are left behind.
+    Null is an empty text: no tokens. Null and repeated ids are rows of their own; an empty table has an empty result. No shuffle;
+    ids are digested and decoded run by run, so a text of any length needs constant memory besides itself (and its ids, if
+    they are asked for). Other columns, whatever their names, are left behind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
         for batch in pieces(batches):
-            n_tokens, ids_sha, text_sha = [], [], []
+            n_tokens, ids_sha, text_sha, kept = [], [], [], []
             for text in texts_of(batch):
                 ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
 
@@ -224,6 +275,8 @@ def encode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
                     for tokens in bpe.encode(text):
                         n += len(tokens) // 4
                         ids.update(tokens)  # noqa: B023
+                        if with_ids:
+                            kept.append(tokens)  # noqa: B023
                         yield tokens
 
                 for part in bpe.decode(through()):
@@ -231,12 +284,15 @@ def encode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
                 n_tokens.append(n)
                 ids_sha.append(ids.hexdigest())
                 text_sha.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                flat = pa.array(np.frombuffer(b"".join(kept), "<i4"))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tokens))), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

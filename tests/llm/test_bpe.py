@@ -50,6 +50,35 @@ def test_small_chunks(library, monkeypatch):
         assert ids(text, c) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a few words, that's all", "x" * 3000, " " * 2500 + "y", "=" * 4000 + " z", "日本" * 700, "1\n" * 900, "<|endoftext|> <|endof" * 40, "ab " * 900 + "\t" * 900])
+def test_parts_of_one_byte(library, text):
+    """Parts of any size give the same tokens, and what is held stays within its bound whatever the length."""
+    c = bpe.codec(PATH)
+    want = library.encode(text, add_special_tokens=False).ids
+    bound = 4 * c.lookahead + bpe.LONG + bpe.LOOKAHEAD + c.special_reach + 8
+    for size in (1, 7, 1000):
+        e, out, most, data = bpe.Encoder(c), [], 0, text.encode()
+        for at in range(0, len(data), size):
+            out.append(e.push(data[at : at + size]))
+            most = max(most, e.holds())
+        out.append(e.push(b"", last=True))
+        assert np.frombuffer(b"".join(out), "<u4").tolist() == want and most <= bound + size and e.holds() == 0
+
+
+def test_every_token_comes_from_the_transducer(monkeypatch):
+    c = bpe.Codec(PATH)
+    made, push, end = [], bpe.Transducer.push, bpe.Transducer.end
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, part: made.append(push(self, part)) or made[-1])
+    monkeypatch.setattr(bpe.Transducer, "end", lambda self: made.append(end(self)) or made[-1])
+    text = "every word here is another " + "=" * 3000
+    assert b"".join(c.encode(text)) == b"".join(made)
+
+
+def test_ids(odd):
+    out = bpe.encode_digest(odd, PATH, with_ids=True).collect()
+    assert all(r.n_tokens == len(r.ids) and hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 for r in out)
+
+
 def test_lookahead_suffices():
     """On a random small merge list: a token that the lookahead follows is the same whatever comes after it."""
     r = random.Random(3)
