@@ -36,8 +36,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's tokens, and digest of what they decode to."""
-    return bpe.encode_digest(docs, bpe.vocabulary_path())
+    """Each document's tokens, their number and digest, and the digest of what they decode to."""
+    return bpe.encode_digest(docs, bpe.vocabulary_path(), with_ids=True)
 
 
 STAGES = [
