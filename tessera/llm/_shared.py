@@ -32,6 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or a longer name if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base = "_" + base
+    return base
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps don't depend on executors that are lost meanwhile."""
     path = fresh_path(df.sparkSession, name)
@@ -41,9 +49,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Lets a scan of a table whose buckets are one sorted file each say that its rows are sorted.
+IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def stash_sorted(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like stash(), as a table of n buckets by key, each one file sorted by key. A join on the key needs neither exchange nor sort of
+    it, while n is the number of shuffle partitions and IN_ORDER is set."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table = f"tessera_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._stashed_at, out._table = path, table
+    return out
+
+
+def unsorted(df: DataFrame) -> DataFrame:
+    """What stash_sorted() wrote, as a plain table: adaptive execution may deal its rows anew."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._stashed_at)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a stashed table that nothing reads any more."""
     path = getattr(df, "_stashed_at", None)
+    if getattr(df, "_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     if path:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)

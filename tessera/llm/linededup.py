@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import LOWER_ASCII, discard, pieces, stash, texts_of
+from tessera.llm._shared import IN_ORDER, LOWER_ASCII, discard, free_name, pieces, stash, stash_sorted, texts_of, unsorted
 
 #: White space stripped from a line to get its key, and code points that a key needs to count.
 BLANK, LEAST = b" \t\n\x0b\x0c\r", 10
@@ -24,45 +25,59 @@ def line_hash(line: str) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id and the hash of each line key in it, once a row of docs."""
+    """doc_id, mark (a checksum of the text) and the hash of each line key in it, once a row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1024):
-            ids, hashes = [], []
-            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            rows, hashes = [], []
+            for k, text in enumerate(texts_of(batch)):
                 own = {h for line in (text or "").split("\n") if (h := line_hash(line))}
-                ids += [i] * len(own)
+                rows += [k] * len(own)
                 hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["doc_id", "hash"])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes, pa.binary())], names=["doc_id", "mark", "hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hash binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return own.mapInArrow(run, "doc_id long, mark long, hash binary")
 
 
 class LineRuns:
-    """What is known of line keys: runs of (hash, owner) sorted by hash, in levels.
+    """What is known of line keys: runs of (hash, owner), each a table of buckets by hash, sorted by hash, in levels.
 
     A batch's new hashes become a run of level 0. When a level has `fan_out` runs they are merged into one run of the next
     level, so that after n batches a hash has been rewritten log(n) times and a batch meets few runs. Runs are disjoint, so
     merging needs no aggregation. Batches must come in ascending order of doc_id: then the owner is the smallest doc_id that
     holds the key. Null ids are one document that comes last.
+
+    A batch's hashes are dealt and sorted once; against that each run is merged as it lies on disk, without exchange or sort.
     """
 
-    def __init__(self, fan_out: int = 3) -> None:
-        self.fan_out = fan_out
+    def __init__(self, spark: SparkSession, fan_out: int = 3) -> None:
+        self.spark, self.fan_out = spark, fan_out
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, occurrences: DataFrame) -> DataFrame:
-        """Take in a batch of (doc_id, hash); returns those of them that are repeats, by (doc_id, hash)."""
+    def unknown(self, occurrences: DataFrame) -> DataFrame:
+        """Hashes of a batch that no run has, with their owners."""
         first = occurrences.groupBy("hash").agg(F.min("doc_id").alias("owner"))
         for run in self.runs():
-            first = first.join(run.select("hash"), "hash", "left_anti")
-        fresh = stash(first.sortWithinPartitions("hash"), "line-run")
-        own = fresh.withColumn("fresh", F.lit(True))
-        repeats = occurrences.join(own, "hash", "left").where("fresh is null or not (doc_id <=> owner)").select("doc_id", "hash")
-        repeats = stash(repeats, "line-repeats")
+            first = first.join(run.select("hash").hint("merge"), "hash", "left_anti")
+        return first
+
+    def add(self, occurrences: DataFrame) -> DataFrame:
+        """Take in a batch of (doc_id, mark, hash); returns, stashed, those of them that are repeats."""
+        before = self.spark.conf.get(IN_ORDER, "false")
+        self.spark.conf.set(IN_ORDER, "true")
+        try:
+            fresh = stash_sorted(self.unknown(occurrences), "line-run", "hash", self.buckets)
+        finally:
+            self.spark.conf.set(IN_ORDER, before)
+        # joined on both columns, a key that a third of the documents have is spread over all tasks
+        own = unsorted(fresh).select(F.col("hash").alias("__hash"), "owner").hint("merge")
+        repeats = stash(occurrences.join(own, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left_anti"), "line-repeats")
         self._push(fresh, 0)
         return repeats
 
@@ -71,15 +86,19 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_out:
-            old, merged = self.levels[level], self.levels[level][0]
+            old, merged = self.levels[level], unsorted(self.levels[level][0])
             for other in old[1:]:
-                merged = merged.unionByName(other)
-            n = int(run.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                merged = merged.unionByName(unsorted(other))
             self.levels[level] = []
-            self._push(stash(merged.repartition(n, "hash").sortWithinPartitions("hash"), "line-run"), level + 1)
+            self._push(stash_sorted(merged, "line-run", "hash", self.buckets), level + 1)
             for x in old:
                 discard(x)
 
+    def close(self) -> None:
+        for run in self.runs():
+            discard(run)
+        self.levels = []
+
 
 def id_ranges(docs: DataFrame, n: int) -> list[str]:
     """Conditions that part the rows into n ranges of ascending doc_id of about equal numbers of rows; nulls are in the last."""
@@ -94,33 +113,48 @@ def id_ranges(docs: DataFrame, n: int) -> list[str]:
     return out
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, fan_out: int = 2) -> DataFrame:
+#: Bytes of text for each shuffle partition that make a batch.
+PART_BYTES = 4 << 20
+
+
+def dedup_lines(docs: DataFrame, batches: int | None = None, fan_out: int = 3) -> DataFrame:
     """docs (all columns) with text cut to the lines that stay, and __n_lines, __n_dropped.
 
     A line whose key (stripped, A-Z lowered) has 10 code points or more and is found in several documents stays only in that
     with the smallest doc_id. Rows with equal doc_id are one document; rows with null ids are one, after all others; null and
-    empty texts are one empty line. A document that loses all lines keeps an empty text.
+    empty texts are one empty line. A document that loses all lines keeps an empty text. An empty table has an empty result;
+    a text of any length is read whole, and one task holds the hashes of its lines. Columns of docs named __n_lines or __n_dropped
+    are replaced; all others, whatever their names, stay.
 
-    The documents are read in `batches` ranges of doc_id, each checked against the runs so far. Only hashes are shuffled for
-    that; at the end the repeated hashes of each document meet its text in one join on doc_id. A key in a third of the
-    documents is met by partial aggregation and by joins that adaptive execution can split.
+    The documents are read in ranges of doc_id (by default as many as bring PART_BYTES of text to each shuffle partition), each
+    checked against the runs so far. Only hashes are shuffled for that; at the end the repeated hashes of each row meet its text in
+    one join. A key in a third of the documents is met by partial aggregation and by joins on more than the key.
     """
-    names = docs.columns
-    runs, repeats = LineRuns(fan_out), None
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped")]
+    docs = docs.select(*names)
+    if batches is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = max(1, ceil(size / (PART_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    runs, found = LineRuns(spark, fan_out), []
     for condition in id_ranges(docs, batches):
         occurrences = stash(line_hashes(docs.where(condition)), "line-hashes")
-        own = runs.add(occurrences)
+        found.append(runs.add(occurrences))
         discard(occurrences)
-        repeats = own if repeats is None else repeats.unionByName(own)
-    drops = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("__drops"))
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    runs.close()
+    repeats = found[0]
+    for other in found[1:]:
+        repeats = repeats.unionByName(other)
+    own, mark, gone = (free_name(docs, x) for x in ("__id", "__mark", "__drops"))
+    drops = repeats.groupBy(F.col("doc_id").alias(own), F.col("mark").alias(mark)).agg(F.collect_set("hash").alias(gone))
+    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark)), "left").select(*names, gone)
     schema = docs.select(*names, F.lit(0).cast("long").alias("__n_lines"), F.lit(0).cast("long").alias("__n_dropped")).schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1024):
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            cols = dict(zip(names, batch.columns, strict=False))
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(cols["text"].to_pylist(), cols["__drops"].to_pylist(), strict=True):
+            for text, drop in zip(cols["text"].to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 gone = set(drop or ())
                 kept = [x for x in lines if line_hash(x) not in gone] if gone else lines

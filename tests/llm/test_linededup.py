@@ -47,14 +47,41 @@ def test_odd(odd, none):
 
 
 def test_levels(spark):
-    runs = L.LineRuns(fan_out=2)
+    runs = L.LineRuns(spark, fan_out=2)
     for k in range(5):
-        rows = [(10 * k + i, f"{h:02d}".encode()) for i, h in enumerate(range(k, k + 4))]
-        repeats = runs.add(spark.createDataFrame(rows, "doc_id long, hash binary"))
+        rows = [(10 * k + i, 0, f"{h:02d}".encode()) for i, h in enumerate(range(k, k + 4))]
+        repeats = runs.add(spark.createDataFrame(rows, "doc_id long, mark long, hash binary"))
         assert repeats.count() == (0 if k == 0 else 3)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     everything = runs.runs()[0].unionByName(runs.runs()[1])
     assert everything.count() == 8 == everything.select("hash").distinct().count()
+    runs.close()
+    assert not spark.catalog.listTables()
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """One exchange and one sort, of the batch's own hashes; none of the two runs."""
+    runs = L.LineRuns(spark, fan_out=9)
+    batch = lambda k: spark.range(2000).selectExpr("id as doc_id", "0L as mark", f"unhex(md5(cast(id + {k} as string))) as hash")
+    for k in (0, 1500):
+        runs.add(batch(k))
+    before = spark.conf.get(L.IN_ORDER, "false")
+    spark.conf.set(L.IN_ORDER, "true")
+    try:
+        plan = runs.unknown(batch(3000))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and plan.count("SortMergeJoin") == 2, plan
+        assert runs.unknown(batch(3000)).count() == 1500
+    finally:
+        spark.conf.set(L.IN_ORDER, before)
+        runs.close()
+
+
+def test_many_rows_without_an_id_and_clashing_columns(spark):
+    rows = [(None, f"a line that all have\nown line number {k}") for k in range(4000)] + [(5, "a line that all have")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, __id int, __mark int, __drops int, __n_lines int")
+    out = L.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "__id", "__mark", "__drops", "__n_lines", "__n_dropped"]
+    assert result(out) == brute(rows) and out.where("__id = 1 and __mark = 2 and __drops = 3").count() == 4001
 
 
 def test_query_digest(spark, sf):
