@@ -75,9 +75,13 @@ def discard(df: DataFrame | None) -> None:
     if getattr(df, "_table", None):
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: str | None) -> list[bytes]:

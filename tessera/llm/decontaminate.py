@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import pieces, texts_of, words
+from tessera.llm._shared import discard, pieces, stash, texts_of, words
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text whose windows one pass over the documents broadcasts (about 250 MB of a worker's memory); a
@@ -66,68 +66,73 @@ def windows(items: list[tuple[int, str | None]], size: int = WINDOW) -> dict[tup
     return {k: sorted(v) for k, v in out.items()}
 
 
-def find_items(
-    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None
-) -> DataFrame:
-    """docs (doc_id, text and the columns in keep) with n_words, n_hit and items (sorted item ids with occurring windows).
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, kept (a struct of the columns in keep), n_words, n_hit and items (sorted item ids with occurring windows).
 
-    No shuffle: the benchmark's windows are broadcast, a block of at most about block_bytes of its text at a time, and each
-    block is one pass over the documents; hit words and items carry over from pass to pass. Items with a null id are left
-    out; null and empty texts have no words; repeated documents are rows of their own; repeated items count once.
+    No shuffle: the benchmark's windows are broadcast, a block of at most about block_bytes of its text at a time (an item is never
+    cut), and each block is one pass over the documents; hit words and items carry over from pass to pass through a written table,
+    so that one block's windows are held at a time. Items with a null id are left out; null and empty texts have no words; repeated
+    documents are rows of their own; repeated items count once. An empty table has an empty result, and an empty benchmark hits
+    nothing; a text of any length is searched whole by one task. Columns of any name may be kept.
     """
     spark = docs.sparkSession
-    keep = [c for c in keep or [] if c != "doc_id"]
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
     n_blocks = max(1, ceil((bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    state = docs.select("doc_id", *dict.fromkeys(["text", *keep])).withColumns(
-        {"__words": F.lit(0).cast("long"), "__hit": F.lit(0).cast("long"), "__mask": F.lit(b""), "__items": F.array().cast("array<long>")}
-    )
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
+    state = docs.select(
+        "doc_id", "text", kept.alias("kept"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        F.lit(b"").alias("mask"), F.array().cast("array<long>").alias("items"),
+    )
+    names = state.columns
+
+    def search(batches: Iterator[pa.RecordBatch], matcher) -> Iterator[pa.RecordBatch]:
+        machine = WuManber(matcher.value)
+        for batch in pieces(batches):
+            cols = dict(zip(names, batch.columns, strict=True))
+            counts, masks, items = [], [], []
+            for text, mask, had in zip(texts_of(batch), cols["mask"].to_pylist(), cols["items"].to_pylist(), strict=True):
+                w = words(text)
+                hits, got = None, None
+                for start, m, of in machine.find(w):
+                    if hits is None:
+                        hits, got = bytearray(mask or bytes(len(w))), set(had)
+                    hits[start : start + m] = b"\1" * m
+                    got.update(of)
+                counts.append(len(w))
+                masks.append(mask if hits is None else bytes(hits))
+                items.append(had if got is None else sorted(got))
+            cols |= {
+                "n_words": pa.array(counts, pa.int64()), "n_hit": pa.array([m.count(1) for m in masks], pa.int64()),
+                "mask": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+
     for k in range(n_blocks):
         block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else bench
         matcher = spark.sparkContext.broadcast(windows([(r.item_id, r.text) for r in block.toLocalIterator()], size))
-        last = k == n_blocks - 1
-        kept = ["doc_id", *(keep if last else dict.fromkeys(["text", *keep]))]
-        names = [*kept, "__words", "__hit", *([] if last else ["__mask"]), "__items"]
-
-        def search(batches: Iterator[pa.RecordBatch], matcher=matcher, names=names) -> Iterator[pa.RecordBatch]:
-            machine = WuManber(matcher.value)
-            for batch in pieces(batches):
-                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-                counts, masks, items = [], [], []
-                for text, mask, had in zip(texts_of(batch), cols["__mask"].to_pylist(), cols["__items"].to_pylist(), strict=True):
-                    w = words(text)
-                    hits, got = None, None
-                    for start, m, of in machine.find(w):
-                        if hits is None:
-                            hits, got = bytearray(mask or bytes(len(w))), set(had)
-                        hits[start : start + m] = b"\1" * m
-                        got.update(of)
-                    counts.append(len(w))
-                    masks.append(mask if hits is None else bytes(hits))
-                    items.append(had if got is None else sorted(got))
-                cols |= {
-                    "__words": pa.array(counts, pa.int64()), "__hit": pa.array([m.count(1) for m in masks], pa.int64()),
-                    "__mask": pa.array(masks, pa.binary()), "__items": pa.array(items, pa.list_(pa.int64())),
-                }
-                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
-
-        state = state.mapInArrow(search, state.select(*names).schema)
-    return state
+        found = state.mapInArrow(lambda batches, matcher=matcher: search(batches, matcher), state.schema)
+        if k < n_blocks - 1:
+            found = stash(found, "decontaminate")
+            matcher.destroy()
+            discard(state)
+        state = found
+    return state.drop("mask")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    joined = F.array_join(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), ",")
+    joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return find_items(docs, benchmark, size).select(
-        "doc_id", F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
-        (F.col("__hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs, all columns, without the rows that hold a window of the benchmark."""
-    return find_items(docs, benchmark, size, keep=docs.columns).where("__hit = 0").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    clean = find_items(docs, benchmark, size, keep=rest).where("n_hit = 0")
+    return clean.select(*(F.col(c) if c in ("doc_id", "text") else F.col("kept")[c].alias(c) for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import fresh_path, pieces, texts_of
+from tessera.llm._shared import discard, fresh_path, pieces, remove, stash, texts_of
 
 #: Samples in a row of the stored image; a payload is a positive multiple of it.
 WIDTH = 576
@@ -125,10 +125,14 @@ def _arrow(schema: str) -> pa.Schema:
 def store_texts(docs: DataFrame, folder: str) -> DataFrame:
     """Store each text as an image in tar shards under folder; one row a document with where and what is stored.
 
-    A map over the rows: each task writes shards of its own and reads them back, so nothing is shuffled. A shard holds a content
-    once, under its SHA-256; a content that many tasks meet is stored once by each shard that meets it, and canonical() picks
-    one place for all. Null is an empty text; equal texts have equal values but for the place. Shards are named by attempt: a
-    task that runs again writes new ones and its rows point there. Memory: one shard's list of members and one payload.
+    Each task writes shards of its own and reads them back; a shard holds a content once, under its SHA-256. A content that
+    several shards hold is then given one place, the first by shard and offset, in a join of digests and places alone, and
+    shards that no row points to any more are deleted. So equal texts have equal values in every column but doc_id. What is
+    returned is a written table: to evaluate it again stores nothing again.
+
+    Null is an empty text; null and repeated ids are rows of their own; an empty table has an empty result; other columns are left
+    behind. A text of any length is one payload in one task. Shards are named by attempt: a task that runs again writes new ones
+    and its rows point there. Memory: one shard's list of members and one payload.
     """
     schema = _arrow(SCHEMA)
 
@@ -155,12 +159,18 @@ def store_texts(docs: DataFrame, folder: str) -> DataFrame:
         if shard:
             yield finish()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    met = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "media-met")
+    out = stash(met.drop("shard", "offset").join(canonical(met).hint("merge"), "media_sha256").select(*met.columns), "media-rows")
+    unused = met.select("shard").distinct().join(out.select("shard").distinct(), "shard", "left_anti")
+    for row in unused.toLocalIterator():
+        remove(docs.sparkSession, f"{folder}/{row.shard}")
+    discard(met)
+    return out
 
 
 def canonical(stored: DataFrame) -> DataFrame:
-    """One place for each content: media_sha256, shard, offset, media_bytes."""
-    place = F.min(F.struct("shard", "offset", "media_bytes")).alias("p")
+    """One place for each content: media_sha256, shard, offset."""
+    place = F.min(F.struct("shard", "offset")).alias("p")
     return stored.groupBy("media_sha256").agg(place).select("media_sha256", "p.*")
 
 

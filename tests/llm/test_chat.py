@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -31,10 +32,15 @@ def brute(roles, c):
 def test_least_cost(costs):
     for n in (1, 2, 3):
         for roles in itertools.product(["system", "user", "assistant", "tool", None], repeat=n):
-            m = H.block_costs(list(roles), costs)
-            states = H.boundary_states([m], costs)
-            steps = H.repair(list(roles), states[0], states[1], costs)
-            assert sum(x[3] for x in steps) + H.end_cost(states[1], costs) == brute(roles, costs)
+            blocks = [H.block_costs([r], costs) for r in roles]
+            ahead = H.costs_ahead(blocks, costs)
+            steps = H.repair(list(roles), H.START, ahead[-1], costs)
+            assert sum(x[3] for x in steps) + H.end_cost(steps[-1][1], costs) == ahead[0][H.START] == brute(roles, costs)
+            s, parts = H.START, []
+            for r, after in zip(roles, ahead[1:], strict=True):  # block by block: the same choices
+                parts += H.repair([r], s, after, costs)
+                s = parts[-1][1]
+            assert parts == steps
 
 
 def legal(text):
@@ -68,6 +74,26 @@ def test_conversations(spark, partitions):
     assert H.format_turns(df.limit(0)).count() == 0
 
 
+def test_partitions_and_blocks_make_no_difference(spark, monkeypatch):
+    r = random.Random(5)
+    roles = ["user", "user", "assistant", "assistant", "system", "tool", "bot", None, "odd"]
+    rows = [(c, t, r.choice(roles), f"{c}.{t}") for c in [*range(60), None] for t in range(r.choice((1, 2, 3, 9)))] + [(70, t, r.choice(roles), "") for t in range(900)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = None
+    for partitions, turns, chars in ((1, 20_000, 1 << 20), (7, 20_000, 1 << 20), (3, 16, 1 << 20), (2, 20_000, 12), (40, 5, 40)):
+        monkeypatch.setattr(H, "BLOCK_TURNS", turns)
+        monkeypatch.setattr(H, "BLOCK_CHARS", chars)
+        got = sorted(map(tuple, H.format_turns(df, partitions=partitions).collect()), key=str)
+        want = want or got
+        assert got == want and len(got) == len(rows)
+
+
+def test_a_very_long_turn(spark):
+    text = "long " * 2_000_000
+    out = H.format_turns(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "ok"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string"))
+    assert [r.rendered.replace(text, "L") for r in out.where("conv_id = 1").orderBy("seq").collect()] == ["<|im_start|>user\nL", "<|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"]
+
+
 def test_table(spark, sf):
     out = H.op9_chat(spark, sf)
     assert out.count() == spark.read.parquet(f"{sf}/conversations.parquet").count()

@@ -31,7 +31,18 @@ def test_random(spark):
     for size in (10, 4):
         assert sorted(map(tuple, D.report(d, b, size).collect()), key=str) == brute(docs, bench, size)
     found = D.find_items(d, b, block_bytes=60)
-    assert sorted((r[0], r[1], r[2], len(r[3])) for r in found.collect()) == sorted(x[:4] for x in brute(docs, bench))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found.collect()) == sorted(x[:4] for x in brute(docs, bench))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan  # one block's pass at a time
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    text = "w " * 200_000 + "one two three four five six seven eight nine ten " + "w " * 200_000
+    docs = spark.createDataFrame([(1, text, 5, "m", 6, [1], None), (2, "clean text", 7, "n", 8, [2], 3)], "doc_id long, text string, n_hit int, mask string, n_words int, items array<int>, kept int")
+    bench = spark.createDataFrame([(1, "One two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    assert [tuple(r)[1:4] for r in D.report(docs, bench).orderBy("doc_id").collect()] == [(400_010, 10, 1), (2, 0, 0)]
+    kept = D.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.collect() == docs.where("doc_id = 2").collect()
 
 
 def test_odd(spark, odd, none):

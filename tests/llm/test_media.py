@@ -5,7 +5,6 @@ import zlib
 import pytest
 
 from tessera.llm import media as M
-from tessera.llm._shared import shared_dir
 
 
 def test_images_hold_payloads():
@@ -40,9 +39,22 @@ def test_rows_point_into_shards(odd, none, tmp_path, monkeypatch):
     assert M.store_texts(none, f"file://{tmp_path}").count() == 0
 
 
-def test_canonical(spark, odd, tmp_path):
-    stored = M.store_texts(odd.repartition(3), f"file://{tmp_path}")
-    path = f"{shared_dir(spark)}/stored"
-    stored.write.mode("overwrite").parquet(path)
-    places = M.canonical(spark.read.parquet(path))
-    assert places.count() == spark.read.parquet(path).select("media_sha256").distinct().count()
+def test_equal_texts_have_equal_values_on_several_partitions(spark, tmp_path):
+    rows = [(k, ("common text " * 50, "another", None, f"own {k}")[k % 4]) for k in range(400)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, shard int, offset int").repartition(7)
+    out = M.store_texts(docs, f"file://{tmp_path}")
+    by = {}
+    for r in out.collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert by.setdefault(text, tuple(r)[1:]) == tuple(r)[1:]
+        assert M.from_image((tmp_path / r.shard).read_bytes()[r.offset : r.offset + r.media_bytes]) == M.payload_of(text)[0]
+    files = sorted(p.name for p in tmp_path.glob("shard-*.tar"))
+    assert files == sorted({r.shard for r in out.collect()}) and len(by) == 103
+    out.collect()  # stores nothing again
+    assert files == sorted(p.name for p in tmp_path.glob("shard-*.tar"))
+
+
+def test_shards_without_rows_go(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "the same") for k in range(40)], "doc_id long, text string").repartition(5)
+    assert M.store_texts(docs, f"file://{tmp_path}").select("shard", "offset").distinct().count() == 1
+    assert len(list(tmp_path.glob("*.tar"))) == 1
