@@ -15,8 +15,8 @@ from tessera.llm._shared import pieces, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    """train_rows labelled texts at most, each of at most train_bytes, chosen by a hash of their id, are collected for training
-    (64 MB at most at the defaults); scoring takes whole texts of any length, block_bytes at a time."""
+    """train_rows labelled texts at most, of at most train_bytes together, taken whole in the order of a hash of their ids, are collected
+    for training; scoring takes whole texts of any length, block characters at a time."""
 
     buckets: int = 1 << 16
     dim: int = 12
@@ -24,50 +24,45 @@ class Settings:
     epochs: int = 12
     rate: float = 0.8
     train_rows: int = 4000
-    train_bytes: int = 16_384
-    block_bytes: int = 1 << 18
+    train_bytes: int = 48 << 20
+    block: int = 1 << 17
     seed: int = 7
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes at which words end.
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
 def _spread(h: np.ndarray, s: Settings) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * MIX
     return ((h ^ (h >> np.uint64(32))) % np.uint64(s.buckets)).astype(np.int32)
 
 
-def features(data: bytes, s: Settings) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of bytes (sizes s.sizes), the words and the word pairs of a text, block by block. n-grams that cross the edge
-    of a block belong to the block before; a word is cut there if no white space is near."""
+def features(text: str, s: Settings) -> Iterator[np.ndarray]:
+    """Buckets of the character n-grams (sizes s.sizes), the words and the word pairs of a text, block by block. n-grams that cross the
+    edge of a block belong to the block before; a word that crosses it is two."""
     reach = max(s.sizes) - 1
-    for at in range(0, len(data), s.block_bytes):
-        end = min(len(data), at + s.block_bytes)
-        b = np.frombuffer(data, np.uint8, min(len(data), end + reach) - at, at).astype(np.uint64)
+    for at in range(0, len(text), s.block):
+        end = min(len(text), at + s.block)
+        b = np.frombuffer(text[at : end + reach].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         own = end - at
         h = np.zeros(len(b), np.uint64)
         for n in range(1, reach + 2):
             h = (h[: len(b) - n + 1] if n > 1 else h) * MIX + b[n - 1 :] + np.uint64(1) if len(b) >= n else h[:0]
             if n in s.sizes and len(h):
                 yield _spread(h[:own] + np.uint64(n), s)
-        blank = BLANK[b[:own].astype(np.intp)]
-        inside = ~blank
-        starts = np.flatnonzero(inside & np.concatenate(([True], blank[:-1])))
+        b = b[:own]
+        inside = (b != 32) & ((b < 9) | (b > 13))
+        starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
         if len(starts):
-            yield from _word_buckets(b[:own], inside, starts, s)
+            yield from _word_buckets(b, inside, starts, s)
 
 
 def _word_buckets(b: np.ndarray, inside: np.ndarray, starts: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
-    """Buckets of words and of word pairs. A word's hash is the sum over its bytes of (byte, place in the word), mixed; a pair's
+    """Buckets of words and of word pairs. A word's hash is the sum over its characters of (character, place in the word), mixed; a pair's
     is the exclusive or of both, so that all repeated words share a bucket."""
     place = np.arange(len(b), dtype=np.uint64)
     first = np.zeros(len(b), np.uint64)
     first[starts] = starts.astype(np.uint64)
     place -= np.maximum.accumulate(first)
-    x = (b + place * np.uint64(257) + np.uint64(3)) * MIX
+    x = (b + place * np.uint64(1114117) + np.uint64(3)) * MIX
     x = (x ^ (x >> np.uint64(31))) * MIX
     x[~inside] = 0
     h = np.add.reduceat(x, starts)
@@ -92,7 +87,7 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Model:  # noqa: B008
+def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:  # noqa: B008
     """Learned by plain SGD, one text a step, with a rate that falls to 0. No texts: a model that scores 0.5."""
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
@@ -127,19 +122,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
-    """Learn from a bounded sample of the labelled documents that aren't held out; rows with null ids, texts or labels are left
-    out, repeated ones count once each."""
+    """Learn from a bounded sample of the labelled documents that aren't held out: in the order of a hash of their ids, whoever still
+    fits into train_rows and train_bytes, whatever its length. Rows with null ids, texts or labels are left out, repeated ones count
+    once, of two labels the higher counts. No rows: a model that scores 0.5."""
     known = (
         labels.where("doc_id is not null and quality in (0, 1)").where(~held_out())
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
+        .groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+        .orderBy(F.xxhash64("id"), "id").limit(s.train_rows)
     )
-    rows = (
-        docs.select("doc_id", "text").where(F.octet_length("text") <= s.train_bytes)
-        .join(F.broadcast(known), "doc_id")  # train_rows rows at most
-        .orderBy("doc_id", "text").limit(2 * s.train_rows).collect()
-    )
-    return train([r.text.encode() for r in rows], [int(r.quality) for r in rows], s)
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").withColumn("mark", F.xxhash64("text"))
+    rows = texts.join(F.broadcast(known), "id").select("id", "mark", F.octet_length("text").alias("size"), "quality").distinct()  # train_rows ids at most
+    left, chosen = s.train_bytes, []
+    for r in rows.orderBy(F.xxhash64("id"), "id", "mark").limit(2 * s.train_rows).collect():
+        if r.size <= left and len(chosen) < s.train_rows:
+            left -= r.size
+            chosen.append((r.id, r.mark, int(r.quality)))
+    if not chosen:
+        return train([], [], s)
+    wanted = docs.sparkSession.createDataFrame(chosen, "id long, mark long, quality int")
+    found = texts.join(F.broadcast(wanted), ["id", "mark"]).groupBy("id", "mark").agg(F.first("text").alias("text"), F.first("quality").alias("quality"))
+    found = found.orderBy("id", "mark").collect()
+    return train([r.text for r in found], [r.quality for r in found], s)
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -150,7 +153,7 @@ def scorer(docs: DataFrame, model: Model):
         table, odds = weights.value, []
         for text in texts:
             total, n = 0.0, 0
-            for f in features((text or "").encode("utf-8", "surrogatepass"), s):
+            for f in features(text or "", s):
                 total += float(table[f].sum())
                 n += len(f)
             odds.append(margin + total / max(1, n))
@@ -160,7 +163,10 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted (score >= threshold). A map over the rows, no shuffle."""
+    """One row a document: doc_id, held_out, score, predicted (score >= threshold). A map over the rows, no shuffle.
+
+    Null and empty texts score by the bias alone; repeated rows are rows of their own with the same score; null ids are never held
+    out; an empty table has an empty result; a text of any length is scored whole. Other columns are left behind."""
     score = scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +178,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs, all columns, without the rows that score below threshold."""
+    """docs, all columns, whatever their names, without the rows that score below threshold; null and empty texts score by the bias alone."""
     score = scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
