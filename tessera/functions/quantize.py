@@ -11,11 +11,18 @@ from tessera.functions.metrics import let, norm_l2, normalize
 
 
 def fp16(v: Column) -> Column:
-    """Values rounded to half precision. Spark has no such type, so this is an Arrow-batched UDF."""
+    """Values rounded to half precision. Spark has no such type, so this is an Arrow-batched UDF: a batch is cast at once."""
 
     @F.pandas_udf("array<float>")
     def half(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32).tolist())
+        there = v.notna().to_numpy()
+        rows = [np.asarray(x, np.float32) for x in v[there]]
+        flat = np.concatenate(rows).astype(np.float16).astype(np.float32) if rows else np.zeros(0, np.float32)
+        out = np.full(len(v), None, object)
+        parts = np.split(flat, np.cumsum([len(x) for x in rows])[:-1]) if rows else []
+        for i, x in zip(np.flatnonzero(there), parts, strict=True):
+            out[i] = x
+        return pd.Series(out)
 
     return half(v)
 
@@ -56,14 +63,14 @@ def pack_int4(codes: Column) -> Column:
     return let(codes, packed)
 
 
-def unpack_int4(packed: Column, dimension: int) -> Column:
+def unpack_int4(packed: Column, dimension: Column | int) -> Column:
     def unpacked(p: Column) -> Column:
         def code(i: Column) -> Column:
             b = F.get(p, F.floor(i / 2).cast("int"))
             half = F.when(i % 2 == 0, b.bitwiseAND(F.lit(15))).otherwise(F.floor(b / 16).cast("int"))
             return F.when(half > 7, half - 16).otherwise(half).cast("tinyint")
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), code)
+        return F.transform(F.sequence(F.lit(0), (F.lit(dimension) if isinstance(dimension, int) else dimension) - 1), code)
 
     return let(packed, unpacked)
 
@@ -151,30 +158,114 @@ def from_global_int(codes: Column, scale: float, bias: float) -> Column:
     return F.transform(codes, lambda c: (c.cast("double") - bias) / scale)
 
 
-def rabitq(v: Column, rotation: np.ndarray, centroid: np.ndarray, bits: int = 7) -> Column:
-    """Residual to a centroid, rotated, as codes of 1..8 bits with their own grid: struct(codes, scale, bias, norm)."""
+RABITQ = "struct<cluster:int,codes:binary,norm:double,factor:double>"
 
-    @F.pandas_udf("struct<codes:array<int>,scale:double,bias:double,norm:double>")
+
+def _rabitq_of(x: np.ndarray, rotation: np.ndarray, centroids: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """Cluster, codes, norm and factor of each row."""
+    cluster = ((x[:, None, :] - centroids[None]) ** 2).sum(2).argmin(1) if len(centroids) > 1 else np.zeros(len(x), int)
+    r = x - centroids[cluster]
+    norm = np.sqrt((r * r).sum(1))
+    y = (r / np.where(norm > 0, norm, 1.0)[:, None]) @ rotation.T
+    top = np.abs(y).max(1, initial=0.0)
+    codes = np.clip(np.floor((y / np.where(top > 0, top, 1.0)[:, None] + 1) * 2 ** (bits - 1)), 0, 2**bits - 1)
+    factor = ((codes - (2**bits - 1) / 2) * y).sum(1)
+    return cluster.astype(np.int32), codes.astype(np.uint8), norm, np.where(factor > 0, factor, 1.0)
+
+
+def rabitq(v: Column, rotation: np.ndarray, centroids: np.ndarray, bits: int = 7) -> Column:
+    """RaBitQ codes: the residual to the nearest centroid, its direction randomly rotated and put on a grid of 1 (signs alone) to 8
+    bits a value, with its length and the product of grid point and direction, by which products are estimated without bias:
+    struct(cluster, codes, norm, factor). Null stays null."""
+    centroids = np.atleast_2d(np.asarray(centroids, np.float64))
+
+    @F.pandas_udf(RABITQ)
     def encode(s: pd.Series) -> pd.DataFrame:
-        x = np.stack(s.map(lambda a: np.asarray(a, np.float64))) - centroid
-        y = x @ rotation.T
-        low, high = y.min(1), y.max(1)
-        step = np.where(high > low, (high - low) / (2**bits - 1), 1.0)
-        codes = np.rint((y - low[:, None]) / step[:, None]).astype(np.int32)
-        return pd.DataFrame({"codes": list(codes), "scale": step, "bias": low, "norm": np.sqrt((x * x).sum(1))})
+        there = s.notna().to_numpy()
+        out = pd.DataFrame({"cluster": pd.array([None] * len(s), "Int32"), "codes": None, "norm": np.nan, "factor": np.nan}, index=s.index)
+        if there.any():
+            x = np.array([np.asarray(a, np.float64) for a in s[there]])
+            cluster, codes, norm, factor = _rabitq_of(np.nan_to_num(x), rotation, centroids, bits)
+            out.loc[there, "cluster"], out.loc[there, "norm"], out.loc[there, "factor"] = cluster, norm, factor
+            out.loc[there, "codes"] = pd.Series([c.tobytes() for c in codes], index=out.index[there], dtype=object)
+        return out
 
-    return encode(v)
+    return F.when(v.isNotNull(), encode(v))
 
 
-def from_rabitq(code: Column, rotation: np.ndarray, centroid: np.ndarray) -> Column:
+def from_rabitq(code: Column, rotation: np.ndarray, centroids: np.ndarray, bits: int = 7) -> Column:
+    """The vector whose products with others are the estimates. Null stays null."""
+    centroids = np.atleast_2d(np.asarray(centroids, np.float64))
+
     @F.pandas_udf("array<double>")
     def decode(d: pd.DataFrame) -> pd.Series:
-        y = np.stack(d["codes"].map(np.asarray)) * d["scale"].to_numpy()[:, None] + d["bias"].to_numpy()[:, None]
-        return pd.Series(list(y @ rotation + centroid))
+        there = d["codes"].notna().to_numpy()
+        out = np.full(len(d), None, object)
+        if there.any():
+            own = d[there]
+            grid = np.array([np.frombuffer(c, np.uint8) for c in own["codes"]]) - (2**bits - 1) / 2
+            y = grid * (own["norm"] / own["factor"]).to_numpy()[:, None]
+            x = y @ rotation + centroids[own["cluster"].to_numpy(int)]
+            for i, row in zip(np.flatnonzero(there), x, strict=True):
+                out[i] = row
+        return pd.Series(out)
 
     return decode(code)
 
 
+def rabitq_score(code: Column, query: np.ndarray, rotation: np.ndarray, centroids: np.ndarray, metric: str = "L2", bits: int = 7) -> Column:
+    """Estimated score from codes alone, which are never turned back: the products of integer codes with the rotated query. For L2 and IP;
+    for COSINE of unit vectors, 1 - IP. Null for null."""
+    query, centroids = np.asarray(query, np.float64), np.atleast_2d(np.asarray(centroids, np.float64))
+
+    @F.pandas_udf("double")
+    def estimate(d: pd.DataFrame) -> pd.Series:
+        there = d["codes"].notna().to_numpy()
+        out = np.full(len(d), np.nan)
+        if there.any():
+            own = d[there]
+            codes = np.array([np.frombuffer(c, np.uint8) for c in own["codes"]])
+            cluster, norm, factor = own["cluster"].to_numpy(int), own["norm"].to_numpy(), own["factor"].to_numpy()
+            to = query - centroids if metric == "L2" else np.broadcast_to(query, centroids.shape)
+            turned = to @ rotation.T
+            product = np.einsum("ij,ij->i", codes, turned[cluster]) - (2**bits - 1) / 2 * turned.sum(1)[cluster]
+            product *= norm / factor
+            if metric == "L2":
+                out[there] = norm**2 + (to**2).sum(1)[cluster] - 2 * product
+            else:
+                ip = (centroids @ query)[cluster] + product
+                out[there] = ip if metric == "IP" else 1 - ip
+        return pd.Series(out)
+
+    return F.when(code.isNotNull(), estimate(code))
+
+
+# --- codes of an index ------------------------------------------------------------------------------------------------------
+
+
+def encoded(v: Column, code: dict) -> Column:
+    """A vector as an index stores it. code: its kind (FP16, INT8, INT4, RABITQ) and what that needs."""
+    if code["kind"] == "FP16":
+        return fp16(v)
+    if code["kind"] == "INT8":
+        return int8(v)
+    if code["kind"] == "INT4":
+        return let(F.struct(int4(v).alias("q"), F.size(v).alias("n")), lambda s: F.struct(pack_int4(s["q"]["codes"]).alias("codes"), s["q"]["scale"].alias("scale"), s["q"]["bias"].alias("bias"), s["n"].alias("n")))
+    return rabitq(v, random_rotation(code["dimension"], code["seed"]), np.array(code["centroids"]), code["bits"])
+
+
+def decoded(q: Column, code: dict) -> Column:
+    """The vector that encoded() stands for."""
+    if code["kind"] == "FP16":
+        return q
+    if code["kind"] == "INT8":
+        return dequantize(q)
+    if code["kind"] == "INT4":
+        whole = lambda s: dequantize(F.struct(F.slice(unpack_int4(s["codes"], 2 * F.size(s["codes"])), 1, s["n"]).alias("codes"), s["scale"].alias("scale"), s["bias"].alias("bias")))
+        return let(q, whole)
+    return from_rabitq(q, random_rotation(code["dimension"], code["seed"]), np.array(code["centroids"]), code["bits"])
+
+
 def random_rotation(dimension: int, seed: int = 0) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dimension, dimension)))
     return q * np.sign(np.diag(r))

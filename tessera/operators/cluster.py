@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
 from tessera.functions import metrics as M
+from tessera.functions import quantize as Q
 from tessera.operators.search import QUERY_BLOCK_BYTES, knn
 from tessera.sources.files import read_text, write_text
 
@@ -130,32 +131,49 @@ def centroid_means(df: DataFrame, vector: str, cell: str) -> DataFrame:
 class IvfIndex:
     """Rows written by cell: a search reads the folders of the nearest cells only."""
 
-    def __init__(self, spark: SparkSession, path: str, vector: str, key: str, metric: str, centroids: Centroids) -> None:
-        self.spark, self.path, self.vector, self.key, self.metric, self.centroids = spark, path, vector, key, metric, centroids
+    def __init__(self, spark: SparkSession, path: str, vector: str, key: str, metric: str, centroids: Centroids, code: dict | None = None) -> None:
+        self.spark, self.path, self.vector, self.key, self.metric, self.centroids, self.code = spark, path, vector, key, metric, centroids, code
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, vector: str, key: str, metric: str = "L2", n_list: int = 1024, n_iters: int = 10, seed: int = 7, max_records: int = 1_000_000) -> IvfIndex:
-        """Fit on all rows, assign every row, write by cell. Adaptive execution splits a cell that is too
-        large for one task and joins small ones."""
-        centroids = kmeans(df, vector, n_list, key, n_iters, seed, metric in ("COSINE", "IP"))
-        celled = assign_cells(df, centroids, vector)
-        celled.hint("rebalance", "cell_id").write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy("cell_id").parquet(f"{path}/cells")
-        meta = {"vector": vector, "key": key, "metric": metric, "cosine": centroids.cosine, "points": centroids.points.tolist()}
+    def build(cls, df: DataFrame, path: str, vector: str, key: str, metric: str = "L2", n_list: int = 1024, n_iters: int = 10, seed: int = 7, max_records: int = 1_000_000, quantize: str | None = None, bits: int = 7, clusters: int = 16) -> IvfIndex:
+        """Fit on all rows, assign every row, write by cell (n_list 0: all in one), with a quantizer as codes. Adaptive execution splits
+        a cell that is too large for one task and joins small ones."""
+        if n_list:
+            centroids = kmeans(df, vector, n_list, key, n_iters, seed, metric in ("COSINE", "IP"))
+            celled = assign_cells(df, centroids, vector).hint("rebalance", "cell_id")
+        else:
+            centroids = Centroids(np.zeros((0, 0)), metric in ("COSINE", "IP"))
+            celled = df.withColumn("cell_id", F.lit(0))
+        code = {"kind": quantize} if quantize else None
+        if quantize == "RABITQ":
+            near = kmeans(df, vector, clusters, key, 5, seed).points
+            code |= {"bits": bits, "seed": seed, "dimension": near.shape[1], "centroids": near.tolist() or [[0.0] * near.shape[1]]}
+        if quantize:
+            celled = celled.withColumn(vector, Q.encoded(F.col(vector), code))
+        celled.write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy("cell_id").parquet(f"{path}/cells")
+        meta = {"vector": vector, "key": key, "metric": metric, "cosine": centroids.cosine, "points": centroids.points.tolist(), "code": code}
         write_text(df.sparkSession, f"{path}/centroids.json", json.dumps(meta), overwrite=True)
-        return cls(df.sparkSession, path, vector, key, metric, centroids)
+        return cls(df.sparkSession, path, vector, key, metric, centroids, code)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IvfIndex:
         x = json.loads(read_text(spark, f"{path}/centroids.json"))
-        return cls(spark, path, x["vector"], x["key"], x["metric"], Centroids(np.array(x["points"], np.float64), x["cosine"]))
+        return cls(spark, path, x["vector"], x["key"], x["metric"], Centroids(np.array(x["points"], np.float64), x["cosine"]), x.get("code"))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/cells")
+        """key, vector (as its code says it), cell_id."""
+        rows = self.spark.read.parquet(f"{self.path}/cells")
+        return rows.withColumn(self.vector, Q.decoded(F.col(self.vector), self.code)) if self.code else rows
+
+    def near(self, query: Sequence[float], nprobe: int) -> DataFrame:
+        """Rows of the nprobe cells nearest to a query; of no other cell a file is read."""
+        if not len(self.centroids.points):
+            return self.rows()
+        return self.rows().where(F.col("cell_id").isin(self.centroids.nearest(query, nprobe)))
 
     def search(self, query: Sequence[float], k: int, nprobe: int = 10, where: Column | None = None, radius: float | None = None) -> DataFrame:
         """The k best rows of the nprobe nearest cells; as many cells as there are makes it exact."""
-        cells = self.centroids.nearest(query, nprobe) if len(self.centroids.points) else []
-        return knn(self.rows().where(F.col("cell_id").isin(cells)), query, k, self.key, self.vector, self.metric, where, radius).drop("cell_id")
+        return knn(self.near(query, nprobe), query, k, self.key, self.vector, self.metric, where, radius).drop("cell_id")
 
     def search_batch(self, queries: DataFrame, k: int, nprobe: int, query_key: str, query_vector: str, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
         """query_id, key, score, rank (from 1) of the k best rows of the nprobe cells nearest to each query. As knn_batch: queries

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -37,6 +38,20 @@ class Analyzer:
 
     tokenizer: str = "standard"
     lowercase: bool = True
+    longest: int = LONGEST
+
+    @staticmethod
+    def of(index) -> Analyzer:
+        """That of a full-text index. Its extra_params are a JSON object, in which max_token_length may give the greatest number of bytes
+        of a term; what isn't a whole number above 0 leaves the default."""
+        try:
+            extra = json.loads(index.extra_params) if index.extra_params else {}
+        except ValueError as e:
+            raise InvalidArgument(f"extra_params {index.extra_params!r}") from e
+        if not isinstance(extra, dict):
+            raise InvalidArgument(f"extra_params {index.extra_params!r}")
+        longest = extra.get("max_token_length")
+        return Analyzer(index.tokenizer_name, "lowercase" in index.filters, longest if type(longest) is int and longest > 0 else LONGEST)
 
     def column(self, text: Column) -> Column:
         """Terms in order, null where a position has no term."""
@@ -45,14 +60,14 @@ class Analyzer:
         terms = TOKENIZERS[self.tokenizer][0](text)
         if self.lowercase:
             terms = F.transform(terms, lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-        return F.transform(terms, lambda t: F.when(F.octet_length(t) <= LONGEST, t))
+        return F.transform(terms, lambda t: F.when(F.octet_length(t) <= self.longest, t))
 
     def positions(self, text: str) -> list[str | None]:
         """As column(), for one text."""
         if self.tokenizer not in TOKENIZERS:
             raise NotSupported(f"tokenizer {self.tokenizer}")
         out = TOKENIZERS[self.tokenizer][1](text.translate(LOWER) if self.lowercase else text)
-        return [t if len(t) * 4 <= LONGEST or len(t.encode()) <= LONGEST else None for t in out]
+        return [t if len(t) * 4 <= self.longest or len(t.encode()) <= self.longest else None for t in out]
 
     def terms(self, text: str) -> list[str]:
         return [t for t in self.positions(text) if t is not None]
@@ -350,8 +365,9 @@ class _Terms:
         """Terms that count; the rare too long ones (in bytes) are looked for only where the text is long enough to hold one."""
         if self.run_of:
             runs = F.regexp_count(self.text, F.lit(f"[{self.run_of}]++"))
-            long = F.regexp_extract_all(self.text, F.lit(f"(?<![{self.run_of}])([{self.run_of}]{{{LONGEST // 4 + 1},}}+)"), 1)
-            too_long = F.when(F.octet_length(self.text) > LONGEST, F.size(F.filter(long, lambda t: F.octet_length(t) > LONGEST))).otherwise(0)
+            most = self.analyzer.longest
+            long = F.regexp_extract_all(self.text, F.lit(f"(?<![{self.run_of}])([{self.run_of}]{{{most // 4 + 1},}}+)"), 1)
+            too_long = F.when(F.octet_length(self.text) > most, F.size(F.filter(long, lambda t: F.octet_length(t) > most))).otherwise(0)
             return (runs - too_long).cast("double")
         return F.size(F.filter(self.tokens, lambda x: x.isNotNull())).cast("double")
 
@@ -380,36 +396,34 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
     own = own.crossJoin(F.broadcast(stats))  # one row
     average = F.when(F.col("__average") > 0, F.col("__average")).otherwise(F.lit(1.0))
 
-    def points(row: Column) -> Column:
+    def scored(row: Column) -> Column:
         """The score of a row from its counts, null if it doesn't match."""
-
-        def weight(t: str) -> Column:
-            i = place[t]
-            return idf(F.col("__n"), F.col(f"__df{i}")) * term_weight(row[f"tf{i}"], row["length"], average)
-
-        def build(x) -> tuple[Column, Column]:
-            """Whether x matches, and its score if so."""
-            if isinstance(x, Term):
-                return row[f"tf{place[x.text]}"] > 0, weight(x.text) * x.boost
-            if isinstance(x, Phrase):
-                there = reduce(lambda a, b: a & b, [row[f"tf{place[t]}"] > 0 for t in sorted(set(x.terms))])
-                return F.when(there, terms.phrase(x.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in x.terms]) * x.boost
-            if isinstance(x, Or):
-                parts = [build(p) for p in x.parts]
-                return reduce(lambda a, b: a | b, [m for m, _ in parts]), _total(parts) * x.boost
-            must, should, never = [build(p) for p in x.must], [build(p) for p in x.should], [build(p)[0] for p in x.must_not]
-            return reduce(lambda a, b: a & b, [m for m, _ in must] + [~m for m in never]), _total(must + should) * x.boost
-
-        hit, total = build(node)
+        weight = lambda t: idf(F.col("__n"), F.col(f"__df{place[t]}")) * term_weight(row[f"tf{place[t]}"], row["length"], average)
+        hit, total = points(node, lambda t: row[f"tf{place[t]}"], weight, terms.phrase)
         return F.when(hit, total)
 
     counts = F.struct(*[terms.count(t).alias(f"tf{i}") for t, i in place.items()], terms.length().alias("length"))
-    out = own.select(*[c for c in docs.columns if c != "score"], let(counts, points).alias("score"))  # a row is counted once
+    out = own.select(*[c for c in docs.columns if c != "score"], let(counts, scored).alias("score"))  # a row is counted once
     if k is None:
         return out.where("score > 0")
     return out.orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).where("score > 0")
 
 
+def points(node, tf: Callable[[str], Column], weight: Callable[[str], Column], phrase: Callable[[tuple[str, ...]], Column]) -> tuple[Column, Column]:
+    """Whether a row matches, and its score if so, from each term's frequency and weight in it, and whether it holds a phrase."""
+    if isinstance(node, Term):
+        return tf(node.text) > 0, weight(node.text) * node.boost
+    if isinstance(node, Phrase):
+        there = reduce(lambda a, b: a & b, [tf(t) > 0 for t in sorted(set(node.terms))])
+        return F.when(there, phrase(node.terms)).otherwise(F.lit(False)), reduce(lambda a, b: a + b, [weight(t) for t in node.terms]) * node.boost
+    parts = lambda nodes: [points(p, tf, weight, phrase) for p in nodes]
+    if isinstance(node, Or):
+        any_of = parts(node.parts)
+        return reduce(lambda a, b: a | b, [m for m, _ in any_of]), _total(any_of) * node.boost
+    must, should, never = parts(node.must), parts(node.should), parts(node.must_not)
+    return reduce(lambda a, b: a & b, [m for m, _ in must] + [~m for m, _ in never]), _total(must + should) * node.boost
+
+
 def _total(parts: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(m, s).otherwise(F.lit(0.0)) for m, s in parts])
 
@@ -417,9 +431,11 @@ def _total(parts: list[tuple[Column, Column]]) -> Column:
 # --- postings ---------------------------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer()) -> DataFrame:  # noqa: B008
-    """term, key, tf, positions, length: one row for each term of each document. Terms are counted inside the document, in an
-    Arrow-batched map: no shuffle, and a word that every document holds is no group of its own here."""
+def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer(), lengths: bool = False) -> DataFrame:  # noqa: B008
+    """term, key, tf, positions, length: one row for each term of each document, and, with lengths, one without a term for each
+    document. Terms are counted inside the document, in an Arrow-batched map: no shuffle, and a word that every document holds is no
+    group of its own here."""
+    each = lengths
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +451,12 @@ def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer
                     terms += own
                     rows += [row] * len(own)
                     places += own.values()
-                    lengths += [sum(map(len, own.values()))] * len(own)
+                    total = sum(map(len, own.values()))
+                    if each:
+                        terms.append(None)
+                        rows.append(row)
+                        places.append(())
+                    lengths += [total] * (len(own) + each)
                 tf = pa.array(list(map(len, places)), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.int32())], names=["term", "key", "tf", "positions", "length"])
 

@@ -270,15 +270,14 @@ def knn_binary(spark, d):
     return e.withColumn("score", M.hamming(F.col("b"), F.array(*[F.lit(x).cast("long") for x in q]))).orderBy("score", "vec_id").limit(10).select("vec_id", "score")
 
 
-@query()
+@query(knn_sql(L2, "", 10))
 def knn_rabitq(spark, d):
-    import numpy as np
-
-    e, rotation, centroid = vectors(spark, d), Q.random_rotation(64), np.zeros(64)
-    w = Q.from_rabitq(F.col("code"), rotation, centroid)
-    coarse = e.withColumn("code", Q.rabitq(F.col("embedding"), rotation, centroid)).withColumn("w", w)
-    few = S.knn(coarse, stored(spark, d), 100, "vec_id", "w", "L2").drop("score")
-    return short(S.knn(few, stored(spark, d), 10, "vec_id", "embedding", "L2"))
+    """The 100 best by estimates from codes of 7 bits, then the 10 best of these."""
+    e, rotation = vectors(spark, d), Q.random_rotation(64)
+    centroids = C.kmeans(e, "embedding", 4, "vec_id", 3).points
+    code = Q.rabitq(F.col("embedding"), rotation, centroids)
+    q = stored(spark, d)
+    return short(S.refined(e.withColumn("code", code), Q.rabitq_score(F.col("code"), q, rotation, centroids), q, 10, "vec_id", "embedding", "L2", 10))
 
 
 @query(

@@ -7,6 +7,8 @@ import re
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import InvalidArgument
@@ -275,6 +277,33 @@ def check_value(f: FieldSpec, v: Any) -> None:
     _check_scalar(f.type, v, bad)
 
 
+def refusal(spec: CollectionSpec, there: set[str]) -> Column:
+    """Why a row (pk and the fields that are there) can't be stored, null if it can: check_value() in Columns."""
+    found = [F.when(F.col("pk").isNull() | ~F.col("pk").rlike(f"^(?:{PRIMARY_KEY.pattern})$"), F.concat(F.lit("key "), F.coalesce("pk", F.lit("null"))))]
+    for f in spec.fields:
+        own = F.col(f"`{f.name}`")
+        if f.name not in there:
+            if not f.nullable:
+                found.append(F.lit(f"no value for field {f.name}"))
+            continue
+        bad = F.lit(False)
+        if f.is_sparse:
+            bad = (F.size(own["indices"]) != F.size(own["values"])) | (F.size(own["indices"]) > MAX_SPARSE) | F.exists(own["indices"], lambda i: i.isNull() | (i < 0) | (i >= 2**32))
+            bad = bad | (F.size(F.array_distinct(own["indices"])) < F.size(own["indices"])) | F.exists(own["values"], lambda x: x.isNull())
+        elif f.is_vector:
+            bad = (F.size(own) != f.dimension) | F.exists(own, lambda x: x.isNull())
+            if f.type == "VECTOR_INT8":
+                bad = bad | F.exists(own, lambda x: (x < -128) | (x > 127))
+        elif f.element in INTEGERS:
+            low, high = (F.lit(str(x)).cast("decimal(20,0)") for x in INTEGERS[f.element])
+            outside = lambda x: (x < low) | (x > high)  # noqa: B023, E731
+            bad = F.exists(own, outside) if f.is_array else outside(own)
+        found.append(F.when(bad, F.lit(f"value for field {f.name} ({f.type})")))
+        if not f.nullable:
+            found.append(F.when(own.isNull(), F.lit(f"null for field {f.name}")))
+    return F.coalesce(*found)
+
+
 def _check_scalar(kind: str, v: Any, bad: Exception) -> None:
     if kind in INTEGERS:
         if type(v) is not int or not INTEGERS[kind][0] <= v <= INTEGERS[kind][1]:

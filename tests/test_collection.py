@@ -1,11 +1,15 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, NotSupported, PermissionDenied
+from tessera.operators import fulltext as X
 from tessera.operators.collection import Collection, Doc, Options
 from tessera.operators.rerank import RrfReranker
-from tessera.plans.request import FlatQueryParams, Fts, HnswQueryParams, IvfQueryParams, Query, sparse_dict
-from tessera.schema import CollectionSpec, FieldSpec, FlatIndex, FtsIndex, HnswIndex, InvertIndex, IvfIndex
+from tessera.plans.request import FlatQueryParams, Fts, HnswQueryParams, HnswRabitqQueryParams, IvfQueryParams, Query, sparse_dict
+from tessera.schema import CollectionSpec, FieldSpec, FlatIndex, FtsIndex, HnswIndex, HnswRabitqIndex, InvertIndex, IvfIndex
 from tessera.sources import files
 
 SPEC = CollectionSpec("things", (
@@ -174,7 +178,9 @@ def test_snapshots_and_locks(spark, c):
 def test_bulk_and_stream(spark, c, tmp_path):
     from tessera.streaming.ingest import stream_upsert
 
-    rows = spark.createDataFrame([("k0", 1, 1), ("k0", 2, 2), ("b1", 3, 1), (None, 4, 1)], "pk string, n int, seq int")
+    rows = spark.createDataFrame([("k0", 1, 1), ("k0", 2, 2), ("b1", 3, 1)], "pk string, n int, seq int")
+    with pytest.raises(InvalidArgument):
+        c.upsert_df(rows.unionByName(spark.createDataFrame([(None, 4, 1)], "pk string, n int, seq int")))
     c.upsert_df(rows)
     assert {d.id: d.fields["n"] for d in c.query(topk=99, filter="n <= 3")} == {"k0": 2, "k1": 1, "k2": 2, "k3": 3, "b1": 3}
     with pytest.raises(InvalidArgument):
@@ -182,7 +188,7 @@ def test_bulk_and_stream(spark, c, tmp_path):
     c.upsert_df(rows.limit(0), ("s", 0))
     c.upsert_df(rows.withColumn("n", F.lit(77)), ("s", 0))
     assert not keys(c, filter="n = 77")
-    rows.where("pk is not null").repartition(2).write.parquet(f"{tmp_path}/in")
+    rows.repartition(2).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").withColumn("n", F.col("n") + 500)
     stream_upsert(source, c, f"{tmp_path}/cp", available_now=True).awaitTermination()
     assert c.fetch(["k0", "b1"])["k0"].fields["n"] == 502
@@ -220,3 +226,166 @@ def test_files(spark, tmp_path):
     with pytest.raises(AlreadyExists):
         files.write_text(spark, f"{tmp_path}/one", "y")
     assert files.read_text(spark, f"{tmp_path}/one") == "x"
+
+
+@pytest.mark.parametrize("row,schema", [
+    (("bad key!!  ", 1), "pk string, n int"), (("a" * 65, 1), "pk string, n int"), ((None, 1), "pk string, n int"), (("a", None), "pk string, n int"), (("a",), "pk string"),
+    (("a", 1, [1.0]), "pk string, n int, v array<float>"), (("a", 1, [1.0, None]), "pk string, n int, v array<float>"), (("a", 2**40), "pk string, n long"),
+    (("a", 1, -5), "pk string, n int, big long"), (("a", 1, ([1, 1], [1.0, 2.0])), "pk string, n int, sparse struct<indices:array<long>,values:array<float>>"),
+    (("a", 1, ([1], [1.0, 2.0])), "pk string, n int, sparse struct<indices:array<long>,values:array<float>>"),
+])
+def test_bulk_rows_that_are_refused(spark, c, row, schema):
+    good = [("good", *([1] if len(row) > 1 else []), *[None] * (len(row) - 2))]
+    with pytest.raises(InvalidArgument):
+        c.upsert_df(spark.createDataFrame([row, *good], schema))
+    assert c.fetch("good") == {"good": None} and c.stats().doc_count == 6
+
+
+def test_bulk_ids_ascend_with_the_keys(spark, c):
+    c.upsert_df(spark.createDataFrame([(f"z{k * 37 % 101:03d}", k) for k in range(101)], "pk string, n int").repartition(5))
+    rows = c.docs().where("pk like 'z%'").orderBy("doc_id").collect()
+    assert [r.pk for r in rows] == sorted(r.pk for r in rows) and len(rows) == 101
+    same = c.query(Query("text", fts=Fts(match_string="common")), topk=3)
+    assert [d.id for d in same] == ["k0", "k1", "k2"]  # equal scores: in order of doc_id, here and in the cut
+
+
+def in_memory(c, q, k=50, where=None):
+    """The same search over the texts themselves."""
+    f = c.schema.get("text")
+    analyzer = X.Analyzer.of(f.index)
+    node = X.match(q.fts.match_string, analyzer, q.operator or "or") if q.fts.match_string else X.parse(q.fts.query_string, analyzer, q.operator or "or")
+    out = X.search(c.docs(), node, k, "doc_id", "text", analyzer, None if where is None else c._filter(where))
+    return [(r.doc_id, round(r.score, 9)) for r in out.orderBy(F.desc("score"), "doc_id").collect()]
+
+
+def from_postings(c, q, k=50, where=None):
+    return [(d.doc_id, round(d.score, 9)) for d in c.query(q, k, where, output_fields=[])]
+
+
+QUERIES = [Fts(match_string=x) for x in ("red", "RED green", "none", "red none")] + [
+    Fts(query_string=x) for x in ("red AND green", "+red green -blue", '"red green"', '"green red" OR blue', "(red OR blue) AND NOT green", '+"red green blue" red', 'red AND (green OR "blue red")', "a b", '"red red"')
+]
+
+
+def test_text_index_follows_every_change(spark, tmp_path):
+    r = random.Random(3)
+    spec = CollectionSpec("texts", (FieldSpec("text", "STRING", True, 0, FtsIndex()), FieldSpec("n", "INT32", True)))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    text = lambda: " ".join(r.choice(["red", "Green", "blue", "red", "x1", "a-b"]) for _ in range(r.randint(1, 14)))
+
+    def check(some):
+        for fts in some:
+            q = Query("text", fts=fts)
+            assert from_postings(c, q) == in_memory(c, q), fts
+            assert from_postings(c, q, 3, "n < 20") == in_memory(c, q, 3, "n < 20"), fts
+        live = c.docs().where("text is not null")
+        known = c.manifest.texts["text"]
+        assert known["docs"] == live.count() and known["tokens"] == (X.corpus_stats(live, "text").first()[1])
+
+    c.upsert_df(spark.createDataFrame([(f"p{k}", None if k % 17 == 3 else text(), k) for k in range(60)], "pk string, text string, n int"))
+    check(QUERIES[::2])
+    c.upsert([Doc(f"p{k}", {"text": text(), "n": k}) for k in (1, 2, 3, 200, 201)])
+    c.delete(["p5", "p6", "p200"])
+    check(QUERIES[1::5])
+    c.upsert_df(spark.createDataFrame([(f"p{k}", text(), k) for k in range(10, 30)], "pk string, text string, n int"))
+    c.delete_by_filter("n >= 50")
+    check(QUERIES[8:9])
+    before = len(c.manifest.texts["text"]["buckets"])
+    c.optimize()
+    assert before == 3 and len(c.manifest.texts["text"]["buckets"]) == 1 and not c.manifest.deleted
+    left = c.postings(c.schema.get("text")).lengths().join(c.docs(), "doc_id", "left_anti").count()
+    assert left == 0  # what is deleted is purged
+    check(QUERIES[5:12:3])
+    c.add_column(FieldSpec("twice", "INT32", True), "n * 2")
+    c.vacuum()
+    assert len(files.list_names(spark, f"{c.path}/fts/text")) == 1
+    c = Collection.open(spark, c.path)
+    check(QUERIES[6:7])
+
+
+def test_a_text_search_reads_its_terms_only(spark, tmp_path, monkeypatch):
+    from tessera.operators import postings as P
+
+    monkeypatch.setattr(P, "BUCKET_BYTES", 512)
+    spec = CollectionSpec("texts", (FieldSpec("text", "STRING", True, 0, FtsIndex()),))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    c.upsert_df(spark.createDataFrame([(f"p{k}", f"word{k} word{k % 7} common") for k in range(200)], "pk string, text string"))
+    index = c.postings(c.schema.get("text"))
+    assert list(index.buckets.values())[0] >= 8
+    plan = index.of_terms(["word3"]).select("doc_id", "tf")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan or "EqualTo(term,word3)" in plan
+    assert "positions" not in plan
+    assert {d.id for d in c.query(Query("text", fts=Fts(match_string="word3")), 99)} == {f"p{k}" for k in range(200) if k % 7 == 3 or k == 3}
+
+
+def test_tokenizer_parameters(spark, tmp_path):
+    spec = CollectionSpec("texts", (FieldSpec("text", "STRING", True, 0, FtsIndex(extra_params='{"max_token_length": 4}')),))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    c.insert([Doc("a", {"text": "long longer word"}), Doc("b", {"text": "longer"})])
+    assert keys(c, Query("text", fts=Fts(match_string="longer"))) == [] and keys(c, Query("text", fts=Fts(match_string="word"))) == ["a"]
+    assert c.manifest.texts["text"]["tokens"] == 2 and keys(c, Query("text", fts=Fts(query_string='"long word"'))) == []
+    assert X.Analyzer.of(FtsIndex(extra_params='{"max_token_length": 0}')).longest == X.LONGEST
+    for bad in ("{", "[1]", "7"):
+        with pytest.raises(InvalidArgument):
+            X.Analyzer.of(FtsIndex(extra_params=bad))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_all_that_a_search_reads(spark, tmp_path):
+    spec = CollectionSpec("cells", (FieldSpec("n", "INT32", True), FieldSpec("v", "VECTOR_FP32", True, 2, FlatIndex("L2"))))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    c.upsert_df(spark.createDataFrame([(f"p{k}", k, [float(k % 10), float(k // 10)]) for k in range(200)], "pk string, n int, v array<float>"))
+    c.create_index("v", IvfIndex("L2", n_list=8))
+    f, q = c.schema.get("v"), Query("v", vector=[3.0, 4.0], param=IvfQueryParams(nprobe=2))
+    known = c.manifest.indexes["v"]
+    search = c._index_search(q, f, [3.0, 4.0], 5, None, None, known)
+    assert "PartitionFilters: [cell_id" in plan_of(search) and all("/index/v-" in x for x in search.inputFiles())
+    c.insert(Doc("new", {"n": 500, "v": [3.0, 4.01]}))
+    c.delete("p43")
+    read = c._index_search(q, f, [3.0, 4.0], 5, None, None, c.manifest.indexes["v"]).inputFiles()
+    old, new = known["segments"][0], c.manifest.segments[-1]
+    assert not any(f"/data/{old}/" in x for x in read) and any(f"/data/{new}/" in x for x in read)
+    got = c.query(q, 3)
+    assert [d.id for d in got] == ["new", "p33", "p42"] and got[0].fields["n"] == 500
+    assert [d.id for d in c.query(q, 2, "n != 33")] == ["new", "p42"]
+
+
+@pytest.mark.parametrize("index,param,most", [
+    (FlatIndex("L2", "INT8"), FlatQueryParams, 0.05), (FlatIndex("L2", "FP16"), FlatQueryParams, 0.01), (HnswIndex("L2", quantize="INT4"), HnswQueryParams, 1.0),
+    (IvfIndex("L2", n_list=4, quantize="INT8"), IvfQueryParams, 0.05), (HnswRabitqIndex("L2", num_clusters=4), HnswRabitqQueryParams, 0.3),
+])
+def test_quantized_indexes_and_the_refiner(spark, tmp_path, index, param, most):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(120, 64)).astype(np.float32)
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", CollectionSpec("codes", (FieldSpec("v", "VECTOR_FP32", True, 64, index),)))
+    c.upsert_df(spark.createDataFrame([(f"p{k:03d}", v.tolist()) for k, v in enumerate(x)] + [("none", None)], "pk string, v array<float>"))
+    assert c.stats().index_completeness["v"] == 0.0
+    c.optimize()
+    assert c.stats().index_completeness["v"] == 1.0
+    true = ((x - x[7]) ** 2).sum(1)
+    want = [f"p{k:03d}" for k in np.argsort(true, kind="stable")[:10]]
+    probe = {"nprobe": 4} if param is IvfQueryParams else {}
+    coarse = c.query(Query("v", vector=x[7].tolist(), param=param(**probe)), 10)
+    fine = c.query(Query("v", vector=x[7].tolist(), param=param(is_using_refiner=True, **probe)), 10)
+    assert [d.id for d in fine] == want and [round(d.score, 4) for d in fine] == [round(float(true[int(d.id[1:])]), 4) for d in fine]
+    assert len({d.id for d in coarse} & set(want)) >= 8
+    error = max(abs(d.score - float(true[int(d.id[1:])])) for d in coarse)
+    assert 0 < error or index.quantize == "FP16"
+    assert error < most * 10
+
+
+def test_only_touched_segments_are_joined_with_tombstones(spark, tmp_path):
+    spec = CollectionSpec("parts", (FieldSpec("n", "INT32", True),))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    for part in range(3):
+        c.upsert_df(spark.createDataFrame([(f"p{part}-{k}", k) for k in range(20)], "pk string, n int"))
+    assert "Join" not in plan_of(c.docs())
+    c.delete(["p1-3", "p1-4"])
+    (gone,) = c.manifest.deleted
+    assert gone["segments"] == [c.manifest.segments[1]] and gone["rows"] == 2
+    plan = plan_of(c.docs())
+    assert plan.count("BroadcastHashJoin") == 1 and "Union" in plan and c.docs().count() == 58
+    assert "Join" not in plan_of(c.docs(segments=[c.manifest.segments[0], c.manifest.segments[2]]))

@@ -124,9 +124,31 @@ def test_quantizers(spark, base):
     assert np.median(np.abs(back - X)) < 0.03
     rot = Q.random_rotation(6)
     assert np.allclose(rot @ rot.T, np.eye(6))
-    code = one.withColumn("c", Q.rabitq(F.col("v"), rot, np.zeros(6)))
-    back = np.array([r[0] for r in code.select(Q.from_rabitq(F.col("c"), rot, np.zeros(6)), "id").orderBy("id").collect()])
-    assert np.abs(back - X).max() < 0.1
+
+
+@pytest.mark.parametrize("bits,off", [(8, 0.05), (4, 0.6), (1, 5.0)])
+def test_rabitq(spark, bits, off):
+    """Codes of signs alone up to 8 bits: estimates of distances and products against the true ones; nulls stay nulls."""
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(200, 32)) + 3, r.normal(size=32) + 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None)], "id long, v array<double>")
+    rotation, centroids = Q.random_rotation(32), np.array([x[:100].mean(0), x[100:].mean(0)])
+    code = df.withColumn("c", Q.rabitq(F.col("v"), rotation, centroids, bits))
+    true = {"L2": ((x - q) ** 2).sum(1), "IP": x @ q}
+    for metric, want in true.items():
+        got = [row[0] for row in code.select(Q.rabitq_score(F.col("c"), q, rotation, centroids, metric, bits).alias("s"), "id").orderBy("id").collect()]
+        assert got[200] is None
+        error = np.array(got[:200]) - want
+        assert np.abs(error).mean() < off * 4 and abs(error.mean()) < off * 2  # no bias to speak of
+    back = [row[0] for row in code.select(Q.from_rabitq(F.col("c"), rotation, centroids, bits), "id").orderBy("id").collect()]
+    assert back[200] is None and np.corrcoef(((np.array(back[:200]) - q) ** 2).sum(1), true["L2"])[0, 1] > 0.8
+    assert all(max(row.c.codes) < 2**bits for row in code.where("id < 200").collect())
+
+
+def test_fp16_of_odd_rows(spark):
+    df = spark.createDataFrame([(0, [0.1, 2.0]), (1, None), (2, []), (3, [70000.0])], "id int, v array<float>")
+    got = [r[0] for r in df.select(Q.fp16(F.col("v")), "id").orderBy("id").collect()]
+    assert got == [[float(np.float16(0.1)), 2.0], None, [], [float("inf")]]
 
 
 def test_mips_order_is_that_of_the_product(base):
