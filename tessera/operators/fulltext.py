@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -325,51 +326,53 @@ def term_weight(tf: Column, length: Column, average: Column) -> Column:
 
 
 class _Terms:
-    """Counts of terms in a row as Columns. Where terms are runs of characters, counts are those of a pattern in the text itself;
-    else, or where terms are stored, they come from the array of terms."""
+    """Counts of terms in a row as Columns. Where terms are runs of characters, the text is first brought into a form in which each
+    term stands between blanks of its own, once a row, and terms are then counted by plain search in that; else, or where terms
+    are stored, they are counted in the array of terms."""
 
     def __init__(self, text: str, analyzer: Analyzer, tokens: str | None) -> None:
         self.run_of = TOKENIZERS[analyzer.tokenizer][2] if tokens is None and analyzer.tokenizer in TOKENIZERS else None
-        self.text, self.any_case = F.col(text), analyzer.lowercase
-        self.tokens = F.col(tokens) if tokens else F.col("__tokens")
-        self.stored = tokens is not None
-        self.analyzer = analyzer
-
-    def prepared(self, df: DataFrame) -> DataFrame:
-        return df if self.run_of or self.stored else df.withColumn("__tokens", self.analyzer.column(self.text))
+        self.analyzer, self.text = analyzer, F.col(text)
+        self.form = self._form() if self.run_of else F.col(tokens) if tokens else analyzer.column(self.text)
+
+    def _form(self) -> Column:
+        between = f"[{self.run_of[1:]}]+" if self.run_of[0] == "^" else f"[^{self.run_of}]+"
+        apart = F.regexp_replace(self.text, between, "  ")
+        if self.analyzer.lowercase:
+            # nothing but ASCII is left of most texts, for which lower() is the faster way
+            ascii_only = self.run_of == TOKENIZERS["standard"][2]
+            apart = F.lower(apart) if ascii_only else F.translate(apart, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return F.concat(F.lit(" "), apart, F.lit(" "))
+
+    def count(self, form: Column, term: str) -> Column:
+        if self.run_of:
+            return ((F.octet_length(form) - F.octet_length(F.replace(form, F.lit(f" {term} ")))) / (len(term.encode()) + 2)).cast("double")
+        return F.size(F.filter(form, lambda x: x == term)).cast("double")
 
-    def _pattern(self, terms: tuple[str, ...]) -> Column:
-        """Terms side by side."""
-        inside = f"[{self.run_of}]"
-        outside = f"[{self.run_of[1:]}]" if self.run_of[0] == "^" else f"[^{self.run_of}]"
-        return F.lit(("(?i)" if self.any_case else "") + f"(?<!{inside})" + f"{outside}+".join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms) + f"(?!{inside})")
+    def has(self, form: Column, term: str) -> Column:
+        return F.contains(form, F.lit(f" {term} ")) if self.run_of else F.coalesce(F.array_contains(form, term), F.lit(False))
 
-    def count(self, term: str) -> Column:
+    def phrase(self, form: Column, terms: tuple[str, ...]) -> Column:
         if self.run_of:
-            return F.regexp_count(self.text, self._pattern((term,))).cast("double")
-        return F.size(F.filter(self.tokens, lambda x: x == term)).cast("double")
+            return F.contains(form, F.lit(" " + "  ".join(terms) + " "))
+        starts = F.sequence(F.lit(0), F.size(form) - len(terms))
+        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(form, i + k) == t, F.lit(False)) for k, t in enumerate(terms)])
+        return F.when(F.size(form) >= len(terms), F.exists(starts, here)).otherwise(F.lit(False))
 
-    def has(self, term: str) -> Column:
-        if self.run_of:
-            return F.rlike(self.text, self._pattern((term,)))
-        return F.coalesce(F.array_contains(self.tokens, term), F.lit(False))
+    def length(self, form: Column) -> Column:
+        """Terms that count: not the rare ones of too many bytes."""
+        if not self.run_of:
+            return F.size(F.filter(form, lambda x: x.isNotNull())).cast("double")
+        bare, most = F.trim(form), self.analyzer.longest
+        runs = F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit("  "), F.lit(" "))) + 1)
+        long = F.regexp_extract_all(form, F.lit(f"([^ ]{{{most // 4 + 1},}}+)"), 1)
+        return (runs - F.when(F.octet_length(form) > most, F.size(F.filter(long, lambda t: F.octet_length(t) > most))).otherwise(0)).cast("double")
 
-    def phrase(self, terms: tuple[str, ...]) -> Column:
-        if self.run_of:
-            return F.rlike(self.text, self._pattern(terms))
-        starts = F.sequence(F.lit(0), F.size(self.tokens) - len(terms))
-        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(self.tokens, i + k) == t, F.lit(False)) for k, t in enumerate(terms)])
-        return F.when(F.size(self.tokens) >= len(terms), F.exists(starts, here)).otherwise(F.lit(False))
 
-    def length(self) -> Column:
-        """Terms that count; the rare too long ones (in bytes) are looked for only where the text is long enough to hold one."""
-        if self.run_of:
-            runs = F.regexp_count(self.text, F.lit(f"[{self.run_of}]++"))
-            most = self.analyzer.longest
-            long = F.regexp_extract_all(self.text, F.lit(f"(?<![{self.run_of}])([{self.run_of}]{{{most // 4 + 1},}}+)"), 1)
-            too_long = F.when(F.octet_length(self.text) > most, F.size(F.filter(long, lambda t: F.octet_length(t) > most))).otherwise(0)
-            return (runs - too_long).cast("double")
-        return F.size(F.filter(self.tokens, lambda x: x.isNotNull())).cast("double")
+def term_counts(docs: DataFrame, text: str, terms: list[str], analyzer: Analyzer = Analyzer()) -> Column:  # noqa: B008
+    """How often each of some terms stands in a text, as an array in their order; null for null."""
+    own = _Terms(text, analyzer, None)
+    return F.when(F.col(text).isNotNull(), let(own.form, lambda form: F.array(*[own.count(form, t) for t in terms])))
 
 
 def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer: Analyzer = Analyzer(), where: Column | None = None, tokens: str | None = None) -> DataFrame:  # noqa: B008
@@ -386,24 +389,29 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
         raise InvalidArgument(f"topk {k}")
     needed = terms_of(node)
     terms = _Terms(text, analyzer, tokens)
-    own = terms.prepared(base)
-    stats = own.agg(
-        F.count("*").cast("double").alias("__n"), F.coalesce(F.avg(terms.length()), F.lit(1.0)).alias("__average"),
-        *[F.coalesce(F.sum(terms.has(t).cast("int")), F.lit(0)).cast("double").alias(f"__df{i}") for i, t in enumerate(needed)],
-    )
+    # each row is brought into form once a pass
+    facts = let(terms.form, lambda form: F.struct(terms.length(form).alias("length"), *[terms.has(form, t).cast("int").alias(f"has{i}") for i, t in enumerate(needed)]))
+    stats = base.select(facts.alias("f")).agg(
+        F.count("*").cast("double").alias("__n"), F.coalesce(F.avg("f.length"), F.lit(1.0)).alias("__average"),
+        *[F.coalesce(F.sum(f"f.has{i}"), F.lit(0)).cast("double").alias(f"__df{i}") for i in range(len(needed))],
+    )
     place = {t: i for i, t in enumerate(needed)}
-    own = own if where is None else own.where(where)
+    own = base if where is None else base.where(where)
     own = own.crossJoin(F.broadcast(stats))  # one row
     average = F.when(F.col("__average") > 0, F.col("__average")).otherwise(F.lit(1.0))
 
-    def scored(row: Column) -> Column:
-        """The score of a row from its counts, null if it doesn't match."""
-        weight = lambda t: idf(F.col("__n"), F.col(f"__df{place[t]}")) * term_weight(row[f"tf{place[t]}"], row["length"], average)
-        hit, total = points(node, lambda t: row[f"tf{place[t]}"], weight, terms.phrase)
-        return F.when(hit, total)
+    def scored(form: Column) -> Column:
+        """The score of a row from its terms, null if it doesn't match."""
+        counts = F.struct(*[terms.count(form, t).alias(f"tf{i}") for t, i in place.items()], terms.length(form).alias("length"))
+
+        def from_counts(row: Column) -> Column:
+            weight = lambda t: idf(F.col("__n"), F.col(f"__df{place[t]}")) * term_weight(row[f"tf{place[t]}"], row["length"], average)
+            hit, total = points(node, lambda t: row[f"tf{place[t]}"], weight, lambda some: terms.phrase(form, some))
+            return F.when(hit, total)
+
+        return let(counts, from_counts)
 
-    counts = F.struct(*[terms.count(t).alias(f"tf{i}") for t, i in place.items()], terms.length().alias("length"))
-    out = own.select(*[c for c in docs.columns if c != "score"], let(counts, scored).alias("score"))  # a row is counted once
+    out = own.select(*[c for c in docs.columns if c != "score"], let(terms.form, scored).alias("score"))
     if k is None:
         return out.where("score > 0")
     return out.orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).where("score > 0")
@@ -464,10 +472,44 @@ def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer
 
 
 def term_stats(p: DataFrame) -> DataFrame:
-    """Document frequency, greatest frequency in a document and shortest document of each term."""
+    """Document frequency, greatest frequency in a document and shortest document of each term, from postings."""
     return p.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
 
 
+def term_stats_of(docs: DataFrame, text: str, analyzer: Analyzer = Analyzer(), most: int = 200_000) -> DataFrame:  # noqa: B008
+    """As term_stats(), from the texts: terms are counted inside the tasks, `most` terms at a time, before they are shuffled."""
+    schema = pa.schema([("term", pa.string()), ("df", pa.int64()), ("max_tf", pa.int32()), ("min_length", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            columns = [list(held), *zip(*held.values(), strict=True)] if held else [[]] * 4
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+            held.clear()
+            return out
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                own = Counter(analyzer.positions(value))
+                own.pop(None, None)
+                length = own.total()
+                for t, tf in own.items():
+                    x = held.get(t)
+                    if x is None:
+                        held[t] = [1, tf, length]
+                    else:
+                        x[0] += 1
+                        x[1] = max(x[1], tf)
+                        x[2] = min(x[2], length)
+                if len(held) >= most:
+                    yield flush()
+        yield flush()
+
+    parts = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "term string, df long, max_tf int, min_length int")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
+
+
 def corpus_stats(docs: DataFrame, text: str, analyzer: Analyzer = Analyzer()) -> DataFrame:  # noqa: B008
     n = F.size(F.filter(analyzer.column(F.col(text)), lambda x: x.isNotNull()))
     return docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("total_docs"), F.coalesce(F.sum(n), F.lit(0)).alias("total_tokens"))

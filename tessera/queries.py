@@ -231,18 +231,22 @@ def knn_refine(spark, d):
     return short(S.refined(e, coarse, q, 10, "vec_id", "embedding", "L2", 10))
 
 
-@query(
-    V + ", m AS (SELECT vec_id, v, q, list_min(v) AS lo, list_max(v) AS hi FROM e), "
-    "c AS (SELECT vec_id, q, lo, CASE WHEN hi > lo THEN 254 / (hi - lo) ELSE 1 END AS scale, v FROM m), "
-    "z AS (SELECT vec_id, q, list_transform(v, lambda x: round((x - lo) * scale - 127) / scale + lo + 127 / scale) AS w FROM c) "
-    "SELECT vec_id, round(pow(list_distance(w, q), 2), 6) AS score FROM z ORDER BY pow(list_distance(w, q), 2), vec_id LIMIT 10"
-)
+def record_grid_sql(steps: int, least: int) -> str:
+    return (
+        V + ", m AS (SELECT vec_id, v, q, list_min(v) AS lo, list_max(v) AS hi FROM e), "
+        f"c AS (SELECT vec_id, q, lo, CASE WHEN hi > lo THEN {steps} / (hi - lo) ELSE 1 END AS scale, v FROM m), "
+        f"z AS (SELECT vec_id, q, list_transform(v, lambda x: round((x - lo) * scale + {least}) / scale + lo - {least} / scale) AS w FROM c) "
+        "SELECT vec_id, round(pow(list_distance(w, q), 2), 6) AS score FROM z ORDER BY pow(list_distance(w, q), 2), vec_id LIMIT 10"
+    )
+
+
+@query(record_grid_sql(254, -127))
 def knn_int8(spark, d):
     e = vectors(spark, d).withColumn("q", Q.int8(F.col("embedding"))).withColumn("w", Q.dequantize(F.col("q")))
     return short(S.knn(e, stored(spark, d), 10, "vec_id", "w", "L2"))
 
 
-@query()
+@query(record_grid_sql(15, -8))
 def knn_int4(spark, d):
     packed = Q.pack_int4(F.col("q.codes"))
     e = vectors(spark, d).withColumn("q", Q.int4(F.col("embedding"))).withColumn("p", packed)
@@ -251,7 +255,10 @@ def knn_int4(spark, d):
     return short(S.knn(e, stored(spark, d), 10, "vec_id", "w", "L2"))
 
 
-@query()
+@query(
+    V + ", z AS (SELECT vec_id, q, list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) AS w FROM e) "
+    "SELECT vec_id, round(pow(list_distance(w, q), 2), 6) + 0.0 AS score FROM z ORDER BY pow(list_distance(w, q), 2), vec_id LIMIT 10"
+)
 def knn_fp16(spark, d):
     return short(S.knn(vectors(spark, d).withColumn("w", Q.fp16(F.col("embedding"))), stored(spark, d), 10, "vec_id", "w", "L2"))
 
@@ -302,24 +309,36 @@ def knn_cosine_normalized(spark, d):
     "SELECT doc_id, CAST(sum(CASE w WHEN 'the' THEN 0.5 WHEN 'of' THEN 2 WHEN 'thing' THEN 4 ELSE 0 END) AS DOUBLE) AS score FROM t GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 15"
 )
 def knn_sparse_ip(spark, d):
-    slot = {"the": 1, "of": 2, "thing": 3}
-    p = X.postings(table(spark, d, "documents"), "doc_id", "text").where(F.col("term").isin(list(slot)))
-    at = F.coalesce(*[F.when(F.col("term") == t, F.lit(i)) for t, i in slot.items()]).cast("long")
-    pairs = F.array_sort(F.collect_list(F.struct(at.alias("i"), F.col("tf").cast("float").alias("w"))))
-    v = p.groupBy(F.col("key").alias("doc_id")).agg(pairs.alias("p")).select("doc_id", F.struct(F.transform("p", lambda x: x["i"]).alias("indices"), F.transform("p", lambda x: x["w"]).alias("values")).alias("v"))
+    docs = table(spark, d, "documents")
+    counts = docs.select("doc_id", X.term_counts(docs, "text", ["the", "of", "thing"]).alias("c"))
+    pairs = F.filter(F.zip_with(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]), "c", lambda i, w: F.struct(i.alias("i"), w.cast("float").alias("w"))), lambda p: p["w"] > 0)
+    v = counts.select("doc_id", pairs.alias("p")).where("size(p) > 0")
+    v = v.select("doc_id", F.struct(F.transform("p", lambda x: x["i"]).alias("indices"), F.transform("p", lambda x: x["w"]).alias("values")).alias("v"))
     return S.sparse_knn(v, {1: 0.5, 2: 2.0, 3: 4.0}, 15, "doc_id", "v").select("doc_id", "score")
 
 
-@query()
+def _checked_cells(e, centroids):
+    """One row on an assignment to centroids: vectors, cells, vectors that another centroid is nearer to, centroids that aren't the
+    mean of their cell (to six digits of their size)."""
+    points = F.array(*[M.vector_lit(p) for p in centroids.points])
+    celled = C.assign_cells(e, centroids, "embedding").withColumn("d", F.transform(points, lambda p: M.squared_l2(F.col("embedding"), p)))
+    wrong = celled.agg(F.count("*").alias("n"), F.countDistinct("cell_id").alias("cells"), F.count_if(F.get("d", F.col("cell_id")) > F.array_min("d") + 1e-9).alias("misassigned"))
+    means = C.centroid_means(celled, "embedding", "cell_id").withColumn("p", F.get(points, F.col("cell_id")))
+    return wrong, means.agg(F.count_if(M.squared_l2(F.col("mean"), F.col("p")) > 1e-6 * M.inner_product(F.col("p"), F.col("p"))).alias("not_means"))
+
+
+@query("SELECT count(*) AS n, CAST(16 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS misassigned, CAST(0 AS BIGINT) AS not_means FROM embeddings")
 def kmeans_cells(spark, d):
+    """Run until nothing changes, every vector is in the cell of its nearest centroid, and every centroid the mean of its cell."""
     e = vectors(spark, d)
-    return C.assign_cells(e, C.kmeans(e, "embedding", 16, "vec_id"), "embedding").groupBy("cell_id").agg(F.count("*").alias("n"))
+    wrong, means = _checked_cells(e, C.kmeans(e, "embedding", 16, "vec_id", 200))
+    return wrong.crossJoin(F.broadcast(means))  # one row each
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(16 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS misassigned FROM embeddings")
 def kmeans_two_level(spark, d):
     e = vectors(spark, d)
-    return C.assign_cells(e, C.two_level(e, "embedding", "vec_id", 4, 4), "embedding").groupBy("cell_id").agg(F.count("*").alias("n"))
+    return _checked_cells(e, C.two_level(e, "embedding", "vec_id", 4, 4))[0]
 
 
 @query(
@@ -348,6 +367,14 @@ def ivf_knn(spark, d):
     return out.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"), "rank")
 
 
+@query("SELECT 10 AS k, 10 * count(*) AS expected, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, d):
+    """Whether ivf_knn finds nine tenths of the true neighbours or more."""
+    e = vectors(spark, d)
+    truth = S.knn_batch(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding"), 10, "vec_id", "embedding", "q", "embedding", "L2")
+    return S.recall_at(ivf_knn(spark, d), truth, 10, key="vec_id").select("k", "expected", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # --- full text --------------------------------------------------------------------------------------------------------------
 
 
@@ -408,7 +435,7 @@ TOKENS_SQL = "WITH a AS (SELECT doc_id, list_transform(regexp_extract_all(text,
 
 @query(TOKENS_SQL + "SELECT term, count(*) AS df, CAST(max(tf) AS INTEGER) AS max_tf, CAST(min(length) AS INTEGER) AS min_length FROM f GROUP BY term")
 def fts_term_stats(spark, d):
-    return X.term_stats(X.postings(table(spark, d, "documents"), "doc_id", "text"))
+    return X.term_stats_of(table(spark, d, "documents"), "text")
 
 
 @query("SELECT count(*) AS total_docs, CAST(sum(len(regexp_extract_all(text, '([A-Za-z0-9]+)', 1))) AS BIGINT) AS total_tokens FROM documents WHERE text IS NOT NULL")
@@ -425,6 +452,47 @@ def fts_postings_index(spark, d):
     return out.select("key", F.round("score", 6).alias("score"))
 
 
+def _of_shelf(sql: str) -> str:
+    return sql.replace("SELECT doc_id, round(", "SELECT CAST(doc_id AS VARCHAR) AS pk, round(").replace("DESC, doc_id LIMIT", "DESC, CAST(doc_id AS VARCHAR) LIMIT")
+
+
+def indexed(spark, d, k=20, where=None, **fts):
+    from tessera.plans.request import Fts, Query
+
+    return shelf(spark, d).query_df(Query("text", fts=Fts(**fts)), k, where, output_fields=[]).select("pk", F.round("score", 6).alias("score"))
+
+
+@query(_of_shelf(ORACLES["fts_or"]))
+def fts_index_or(spark, d):
+    return indexed(spark, d, query_string="thing OR ering tion")
+
+
+@query(_of_shelf(ORACLES["fts_must_not"]))
+def fts_index_must_not(spark, d):
+    return indexed(spark, d, query_string="+thing the -ering")
+
+
+@query(_of_shelf(ORACLES["fts_phrase"]))
+def fts_index_phrase(spark, d):
+    return indexed(spark, d, query_string='"Licensed under"')
+
+
+@query(_of_shelf(ORACLES["fts_filtered"]))
+def fts_index_filtered(spark, d):
+    return indexed(spark, d, 20, "lang = 'en'", match_string="the thing")
+
+
+@query(_of_shelf(bm25_sql(["thing", "ering"], "tf_thing > 0 AND tf_ering > 0", "(w_thing + w_ering)", 20, "TRUE").replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND coalesce(lang, '') <> 'de'")))
+def fts_index_after_deletes(spark, d):
+    """Statistics and postings follow deletes, also when segments are merged."""
+    from tessera.plans.request import Fts, Query
+
+    c = shelf(spark, d)
+    c.delete_by_filter("lang = 'de'")
+    c.optimize(most_deleted=0.0)
+    return c.query_df(Query("text", fts=Fts(query_string="thing AND ering")), 20, output_fields=[]).select("pk", F.round("score", 6).alias("score"))
+
+
 @query(TOKENS_SQL + ", n AS (SELECT count(*) AS n, avg(len(t)) AS average FROM a), g AS (SELECT term, count(*) AS df FROM f GROUP BY term) SELECT doc_id, count(*) AS nnz, round(sum(CAST(CAST(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS FLOAT) AS DOUBLE)), 4) AS total FROM f JOIN g USING (term), n GROUP BY doc_id")
 def bm25_sparse_vectors(spark, d):
     v = R.bm25_vectors(table(spark, d, "documents"), "doc_id", "text", dimensions=1 << 50)
