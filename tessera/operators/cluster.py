@@ -42,11 +42,10 @@ def _assigned(df: DataFrame, centroids, vector: str, cell: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = where.value
         for batch in batches:
-            vectors = batch.column(at).to_pylist()
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == c.points.shape[1] and None not in v]
-            cells = np.full(len(vectors), -1, np.int32)
-            if good:
-                cells[good] = c.distances(np.array([vectors[i] for i in good], np.float64)).argmin(1)
+            cells = np.full(batch.num_rows, -1, np.int32)
+            good, x = M.arrow_matrix(batch.column(at), c.points.shape[1])
+            if len(good):
+                cells[good] = c.distances(x).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, cell])
 
     return df.mapInArrow(run, schema)
@@ -63,33 +62,42 @@ def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int = 10, s
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     points = _spread_out(x, min(k, len(x)), rng)
-    dim = points.shape[1]
+    return Centroids(_lloyd(own.select(F.lit(0).alias("group"), vector), points, np.zeros(len(points), int), iterations, cosine).reshape(-1, points.shape[1]), cosine)
+
+
+def _lloyd(own: DataFrame, points: np.ndarray, groups: np.ndarray, iterations: int, cosine: bool) -> np.ndarray:
+    """Points moved to the means of their cells until they stay. own: group, vector; a row belongs to the nearest point of its group.
+    A round is one pass for all groups: tasks add up the vectors of each cell, so a sum for each point and task travels."""
     for _ in range(iterations if len(points) else 0):
-        now = df.sparkSession.sparkContext.broadcast(Centroids(points, cosine))
+        now = own.sparkSession.sparkContext.broadcast((Centroids(points, cosine), groups))
 
         def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            c = now.value
+            c, groups = now.value
             total, count = np.zeros_like(c.points), np.zeros(len(c.points), np.int64)
             for batch in batches:
-                v = np.array([a for a in batch.column(0).to_pylist() if len(a) == c.points.shape[1] and None not in a], np.float64)
-                if len(v):
-                    cell = c.distances(v).argmin(1)
-                    if c.cosine:
-                        v = v / np.maximum(1e-12, np.sqrt((v * v).sum(1)))[:, None]
-                    np.add.at(total, cell, v)
-                    count += np.bincount(cell, minlength=len(count))
+                good, v = M.arrow_matrix(batch.column(1), c.points.shape[1])
+                mine = batch.column(0).to_numpy(zero_copy_only=False)[good]
+                for g in np.unique(mine):
+                    at = np.flatnonzero(groups == g)
+                    if len(at):
+                        x = v[mine == g]
+                        cell = at[Centroids(c.points[at], c.cosine).distances(x).argmin(1)]
+                        if c.cosine:
+                            x = x / np.maximum(1e-12, np.sqrt((x * x).sum(1)))[:, None]
+                        np.add.at(total, cell, x)
+                        count += np.bincount(cell, minlength=len(count))
             used = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64())), pa.array(count[used])], names=["cell", "total", "n"])
 
-        parts = own.select(vector).mapInArrow(sums, "cell int, total array<double>, n long")
+        parts = own.mapInArrow(sums, "cell int, total array<double>, n long")
         added = parts.select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         new = points.copy()
-        for r in added.collect():  # k x dimension numbers
+        for r in added.collect():  # points x dimension numbers
             new[r.cell, r.i] = r.x / r.n
         if np.allclose(new, points):
             break
         points = new
-    return Centroids(points.reshape(-1, dim), cosine)
+    return points
 
 
 def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -112,12 +120,19 @@ def assign_cells(df: DataFrame, centroids: Centroids, vector: str, cell: str = "
 
 def two_level(df: DataFrame, vector: str, key: str, outer: int, inner: int, iterations: int = 10, seed: int = 7) -> Centroids:
     """Stratified clustering: outer cells, then the outer centroids' own cells, as one list of centroids. Each outer cell is
-    clustered by itself."""
+    clustered by itself, all of them in the same passes; their starting points are spread out over at most 50 x inner rows of each."""
     first = kmeans(df, vector, outer, key, iterations, seed)
-    celled = assign_cells(df, first, vector, "__cell")
-    parts = [kmeans(celled.where(F.col("__cell") == c), vector, inner, key, iterations, seed).points for c in range(len(first.points))]
-    parts = [p for p in parts if len(p)]
-    return Centroids(np.concatenate(parts) if parts else first.points)
+    own = assign_cells(df.select(key, vector), first, vector, "group").where("group >= 0")
+    order = W.partitionBy("group").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    few = own.withColumn("at", F.row_number().over(order)).where(F.col("at") <= 50 * inner).orderBy("group", "at").select("group", vector).collect()
+    rng, points, groups = np.random.default_rng(seed), [], []
+    for g in sorted({r.group for r in few}):
+        x = np.unique(np.array([r[1] for r in few if r.group == g], np.float64), axis=0)
+        points.append(_spread_out(x, min(inner, len(x)), rng))
+        groups += [g] * len(points[-1])
+    if not points:
+        return Centroids(first.points)
+    return Centroids(_lloyd(own.select("group", vector), np.concatenate(points), np.array(groups), iterations, False))
 
 
 def centroid_means(df: DataFrame, vector: str, cell: str) -> DataFrame:
@@ -208,13 +223,15 @@ def _probe(shared, k: int, metric: str, schema: pa.Schema):
         best: list[list[tuple[float, object]]] = [[] for _ in ids]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                keys, vectors, cells = (c.to_pylist() for c in batch.slice(at, 4096).columns)
-                held: dict[int, list[int]] = {}
-                for i, (v, c) in enumerate(zip(vectors, cells, strict=True)):
-                    if v is not None and c in by_cell and len(v) == points.shape[1] and None not in v:
-                        held.setdefault(c, []).append(i)
-                for c, at_rows in held.items():
-                    s = sign * M.score_matrix(metric, np.array([vectors[i] for i in at_rows], np.float64), points[by_cell[c]])
+                part = batch.slice(at, 4096)
+                keys, cells = part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False)
+                good, x = M.arrow_matrix(part.column(1), points.shape[1])
+                for c in np.unique(cells[good]).tolist():
+                    if c not in by_cell:
+                        continue
+                    mine = cells[good] == c
+                    at_rows = good[mine]
+                    s = sign * M.score_matrix(metric, x[mine], points[by_cell[c]])
                     for j, q in enumerate(by_cell[c]):
                         near = s[:, j]
                         limit = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf

@@ -16,7 +16,7 @@ from tessera.operators import search as S
 from tessera.operators.collection import Collection, Doc
 from tessera.operators.statistics import histogram
 from tessera.plans.expressions import compile_expression
-from tessera.plans.filters import where
+from tessera.plans.filters import has_prefix, has_suffix, where
 from tessera.schema import CollectionSpec, FieldSpec, FlatIndex, FtsIndex, IvfIndex
 from tessera.sources import files
 from tessera.streaming.ingest import sessions, stream_upsert, windowed_counts
@@ -55,9 +55,16 @@ def filter_ne(spark, d):
     return where(table(spark, d, "lineitem"), "l_returnflag != 'N' AND l_linenumber != 1").select(*LINE)
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%a_%' AND p_type LIKE '%B%'")
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name LIKE '%0_1%' AND c_mktsegment LIKE '%U%'")
 def filter_like(spark, d):
-    return where(table(spark, d, "part"), "p_name LIKE '%a_%' AND p_type LIKE \"%B%\"").select("p_partkey", "p_name", "p_type")
+    return where(table(spark, d, "customer"), "c_name LIKE '%0_1%' AND c_mktsegment LIKE \"%U%\"").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_mktsegment, 'BU') AND ends_with(c_name, '7')")
+def filter_prefix_suffix(spark, d):
+    c = table(spark, d, "customer")
+    spec = CollectionSpec.of(c.schema)
+    return c.where(has_prefix("c_mktsegment", "BU", spec) & has_suffix("c_name", "7", spec)).select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') OR o_orderstatus IN ('F', 'P')")
