@@ -11,7 +11,11 @@ from tessera.errors import FailedPrecondition
 
 @dataclass(frozen=True)
 class Settings:
-    """brute_force_ratio: an index of cells isn't probed if a filter leaves fewer rows than this share, but read whole."""
+    """brute_force_ratio: an index of cells isn't probed if a filter leaves fewer rows than this share, but read whole.
+
+    optimize_threads, fts_brute_force_ratio and invert_to_forward_scan_ratio are taken for callers that set them and change nothing:
+    how many tasks run, and whether a filter is met by statistics or by a scan, is for Spark's scheduler and optimizer to choose.
+    """
 
     query_threads: int = 0
     optimize_threads: int = 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidArgument
 from tessera.functions.metrics import DESCENDING, normalized_score
+from tessera.sources.files import scratch
 
 
 @runtime_checkable
@@ -163,9 +164,11 @@ def bm25_vectors(docs: DataFrame, key: str, text: str, analyzer=None, query: boo
     from tessera.operators import fulltext as X
 
     analyzer = analyzer or X.Analyzer()
-    p = X.postings(docs, key, text, analyzer)
+    at = scratch(docs.sparkSession, "bm25")
+    X.postings(docs, key, text, analyzer).drop("positions").write.parquet(at)  # texts are split into terms once
+    p = docs.sparkSession.read.parquet(at)
     stats = X.corpus_stats(docs, text, analyzer)
-    df = X.term_stats(p).select("term", "df")
+    df = p.groupBy("term").agg(F.count("*").alias("df"))
     own = p.join(df, "term").crossJoin(F.broadcast(stats))
     idf = X.idf(F.col("total_docs").cast("double"), F.col("df").cast("double"))
     average = F.col("total_tokens") / F.col("total_docs")

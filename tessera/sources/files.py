@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import AlreadyExists, NotFound
+from tessera.errors import AlreadyExists, FailedPrecondition, NotFound
 
 
 def _fs(spark: SparkSession, path: str):
@@ -87,32 +87,82 @@ def write_table(df: DataFrame, path: str, max_records: int = 10_000_000, mode: s
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file (or stream) that the driver can read; for small hand-overs, tables go through Parquet."""
+    """Arrow IPC files (or streams): one, or all in a folder, of one schema. The driver looks at the first one's schema; executors
+    read a file each, a record batch at a time."""
     import pyarrow as pa
+    import pyarrow.fs as pafs
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    with pa.OSFile(path) as f:
-        head = f.read(6)
-        f.seek(0)
-        table = (pa.ipc.open_file(f) if head == b"ARROW1" else pa.ipc.open_stream(f)).read_all()
-    return spark.createDataFrame(table)
+    fs, base = pafs.FileSystem.from_uri(path)
+    found = fs.get_file_info(base)
+    if found.type == pafs.FileType.NotFound:
+        raise NotFound(path)
+    names = [found.path] if found.is_file else sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.size)
+    if not names:
+        raise NotFound(path)
 
+    def batches_of(name: str):
+        with fs.open_input_file(name) as f:
+            head = f.read(6)
+            f.seek(0)
+            if head == b"ARROW1":
+                reader = pa.ipc.open_file(f)
+                yield reader.schema
+                for i in range(reader.num_record_batches):
+                    yield reader.get_batch(i)
+            else:
+                reader = pa.ipc.open_stream(f)
+                yield reader.schema
+                yield from reader
+
+    schema = from_arrow_schema(next(batches_of(names[0])))
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield from (x for x in batches_of(name) if isinstance(x, pa.RecordBatch))
+
+    paths = spark.createDataFrame([(n,) for n in names], "path string").repartition(len(names))
+    return paths.mapInArrow(run, schema)
+
+
+def write_arrow(df: DataFrame, folder: str) -> None:
+    """Arrow IPC files in a new folder, one a partition, written by the executors a batch at a time. Files of attempts that failed are
+    removed at the end."""
+    import uuid
 
-def write_arrow(df: DataFrame, path: str) -> None:
-    """One Arrow IPC file, gathered on the driver: for results of a known small size."""
     import pyarrow as pa
+    import pyarrow.fs as pafs
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fs, base = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(base).type != pafs.FileType.NotFound:
+        raise AlreadyExists(folder)
+    fs.create_dir(base, recursive=True)
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches):
+        name = f"part-{uuid.uuid4().hex}.arrow"
+        with fs.open_output_stream(f"{base}/{name}") as f, pa.ipc.new_file(f, schema) as out:
+            for batch in batches:
+                out.write_batch(batch.cast(schema))
+        yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    table = df.toArrow()
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as out:
-        out.write_table(table)
+    kept = {r.name for r in df.mapInArrow(run, "name string").collect()}  # a name for each partition
+    for f in fs.get_file_info(pafs.FileSelector(base)):
+        if f.base_name not in kept:
+            fs.delete_file(f.path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name on shared storage: under spark.checkpoint.dir, or a temporary folder where the session names none."""
+    """A new folder name on shared storage: under spark.checkpoint.dir, or, on one machine that names none, a temporary folder."""
     import tempfile
     import uuid
 
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise FailedPrecondition("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,8 +214,15 @@ def test_files(spark, tmp_path):
     assert sorted((r.key, r.vector) for r in got.collect()) == [("a", [1.0, 2.5, -3.0]), ("b", [4.0, 5.0])]
     files.write_vectors_text(got, f"{tmp_path}/u", "key", "vector")
     assert files.read_vectors_text(spark, f"{tmp_path}/u").count() == 2
-    files.write_arrow(got, f"{tmp_path}/x.arrow")
-    assert files.read_arrow(spark, f"{tmp_path}/x.arrow").count() == 2
+    files.write_arrow(got.repartition(3), f"{tmp_path}/arrow")
+    assert sorted(map(tuple, files.read_arrow(spark, f"{tmp_path}/arrow").collect())) == sorted(map(tuple, got.collect()))
+    with pa.OSFile(f"{tmp_path}/x.arrows", "wb") as f, pa.ipc.new_stream(f, got.toArrow().schema) as out:
+        out.write_table(got.toArrow())
+    assert files.read_arrow(spark, f"file://{tmp_path}/x.arrows").count() == 2
+    with pytest.raises(AlreadyExists):
+        files.write_arrow(got, f"{tmp_path}/arrow")
+    with pytest.raises(NotFound):
+        files.read_arrow(spark, f"{tmp_path}/none")
     (tmp_path / "b/qrels").mkdir(parents=True)
     (tmp_path / "b/corpus.jsonl").write_text('{"_id": "1", "title": "t", "text": "x"}\n')
     (tmp_path / "b/queries.jsonl").write_text('{"_id": "q", "text": "x"}\n')
