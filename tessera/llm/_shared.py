@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,13 +40,40 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: What stash() has written inside the settled() calls that are under way.
+_made: list[list[DataFrame]] = []
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    for made in _made[-1:]:
+        made.append(df)
+    return df
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps don't depend on executors that are lost meanwhile."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed_at = path
-    return out
+    return _noted(out)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written. Tables that make() wrote on the way are removed, also if it fails."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        df = make()
+        path = fresh_path(df.sparkSession, name)
+        df.write.parquet(path)
+    finally:
+        _made.remove(made)
+        for x in made:
+            discard(x)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return _noted(out)
 
 
 #: Lets a scan of a table whose buckets are one sorted file each say that its rows are sorted.
@@ -61,7 +88,7 @@ def stash_sorted(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._stashed_at, out._table = path, table
-    return out
+    return _noted(out)
 
 
 def unsorted(df: DataFrame) -> DataFrame:

@@ -661,6 +661,7 @@ def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFram
     if total <= broadcast_bytes:
         known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in learned.collect()})
         rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
+        discard(learned)
     else:
         rows = rows.join(learned, "host", "left").select("page_id", "url", "html", "host", "wrapper")
 

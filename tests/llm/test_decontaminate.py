@@ -22,6 +22,21 @@ def brute(docs, bench, size=10):
     return sorted(out, key=str)
 
 
+def quick(docs, bench, size=10):
+    """doc_id, whether a window of the benchmark stands in the document, by sets of windows."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for w in (split(t) for i, t in bench if i is not None):
+        m = min(size, len(w))
+        for k in range(len(w) - m + 1 if w else 0):
+            windows.setdefault(m, set()).add(tuple(w[k : k + m]))
+    out = []
+    for i, text in docs:
+        w = split(text)
+        out.append((i, any(tuple(w[at : at + m]) in some for m, some in windows.items() for at in range(len(w) - m + 1))))
+    return out
+
+
 def test_random(spark):
     r = random.Random(1)
     text = lambda n: " ".join(r.choice(["a", "B", "é1", "c,", "dd"]) for _ in range(n))

@@ -49,3 +49,56 @@ def test_odd_documents_pass_through(spark, odd, sf):
     empty = odd.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_against_brute_force(spark, sf, tmp_path):
+    """Every stage's decisions counted out in plain Python on the documents that the stages before it left; some near copies added."""
+    import hashlib
+
+    import numpy as np
+    import test_decontaminate
+    import test_linededup
+    import test_neardup
+    import test_quality
+    import tokenizers
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    copies = docs.where("doc_id % 20 = 3 and length(text) > 400").selectExpr("doc_id + 5000 as doc_id", "concat(text, ' Coda.') as text", "lang", "source", "n_chars + 6 as n_chars")
+    docs.unionByName(copies).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    weights, good = model.weights(), []
+    for r in docs.collect():
+        f = test_quality.plain_features((r.text or "")[:4000], model.settings) if len(r.text or "") <= 4000 else None
+        total = (weights[f].mean() if f else 0.0) + model.margin() if f is not None else None
+        score = 1 / (1 + np.exp(-total)) if total is not None else quality.scorer(docs, model)([r.text])[0]
+        if score >= 0.7:
+            good.append((r.doc_id, r.text))
+    cut = [(i, text) for i, _, _, text in test_linededup.brute(good)]
+    classes = {i: c for i, c, _ in test_neardup.brute(cut)}
+    single = [(i, text) for i, text in cut if classes[i] == i]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    dirty = {x[0] for x in test_decontaminate.quick(single, bench) if x[1]}
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    want = {}
+    for i, text in single:
+        if i not in dirty:
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), ids)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) for r in P.run(spark, sf).collect()}
+    assert got == want and 0 < len(dirty) < len(single) < len(cut) < docs.count()
+
+
+def test_nothing_is_left_behind_but_the_last_stage(spark, sf):
+    from tessera.llm._shared import shared_dir
+    from tessera.sources.files import list_names
+
+    at = f"{shared_dir(spark)}/tessera"
+    before = set(list_names(spark, at))
+    P.run(spark, sf)
+    assert [x.split("-")[0] for x in set(list_names(spark, at)) - before] == ["stage"]
