@@ -160,7 +160,10 @@ def store_texts(docs: DataFrame, folder: str) -> DataFrame:
             yield finish()
 
     met = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "media-met")
-    out = stash(met.drop("shard", "offset").join(canonical(met).hint("merge"), "media_sha256").select(*met.columns), "media-rows")
+    # joined by content and shard: a content of a third of all rows is dealt by the shards that hold it
+    held = met.select("media_sha256", F.col("shard").alias("held")).distinct().join(canonical(met).hint("merge"), "media_sha256")
+    rows = met.drop("offset").withColumnRenamed("shard", "held").join(held.hint("merge"), ["media_sha256", "held"])
+    out = stash(rows.select(*met.columns), "media-rows")
     unused = met.select("shard").distinct().join(out.select("shard").distinct(), "shard", "left_anti")
     for row in unused.toLocalIterator():
         remove(docs.sparkSession, f"{folder}/{row.shard}")
