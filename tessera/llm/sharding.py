@@ -24,11 +24,14 @@ def assign_shards(
     a partition) give every partition its offset, and a running sum inside the partition gives every row its own. A row
     belongs to the shard in which its middle byte lies, so a shard differs from the target by at most one row at each end.
 
+    What reaches the driver is the sample by which Spark cuts the ranges: at most 300 rows of ids, sizes and checksums for each
+    partition that is made (spark.sql.execution.rangeExchange.sampleSizePerPartition, three times over), however many rows there are.
+
     Null texts have size 1 and checksum 0; null ids come first; rows with equal ids follow one another by checksum, size and
     place of input. An empty table gives an empty result; other columns of the input are left behind.
     """
     spark = docs.sparkSession
-    n = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col)
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
