@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from tessera.schema import MAX_TOPK
 #: Bytes of text for each bucket of a segment and for each file.
 BUCKET_BYTES, FILE_BYTES = 256 << 20, 4 << 20
 MOST_BUCKETS = 4096
+#: Postings of a query from which on it pays to find out which of them matter.
+PRUNE_FROM = 1_000_000
 SCHEMA = "term string, doc_id long, tf int, positions array<int>, length int, segment string, bucket int"
 
 
@@ -84,12 +86,12 @@ def merge(old: Postings, segment: str, gone: DataFrame | None) -> int:
     return _store(p, f"{old.root}/segment={segment}", size)
 
 
-def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: DataFrame | None = None, among: DataFrame | None = None, prune_from: int = PRUNE_FROM) -> DataFrame:
     """doc_id and score > 0, the k best first (all, unordered, for None).
 
     BM25 from postings alone. docs and tokens count all live documents with a text; a term's document frequency is that of
     its live postings. Only postings of the query's terms are read, without positions unless there is a phrase; what is
-    shuffled is a row for each of them. gone: documents that are deleted; among: those that may be found.
+    shuffled is a row for each of them, less those that can't decide the k best once there are prune_from of them. gone: documents that are deleted; among: those that may be found.
     """
     node = X.simplify(node)
     empty = index.spark.createDataFrame([], "doc_id long, score double")
@@ -107,6 +109,16 @@ def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: D
         return empty
     if among is not None:
         own = own.join(among, "doc_id", "left_semi")
+    average = float(tokens / docs) if docs and tokens else 1.0
+    flat = node.parts if isinstance(node, X.Or) and all(isinstance(p, X.Term) for p in node.parts) else ()
+    if k is not None and len(flat) > 1 and sum(frequency.values()) >= prune_from:
+        own = _promising(own, {p.text: p.boost for p in flat}, frequency, docs, average, k)
+    scored = _scored(own, node, needed, phrased, frequency, docs, average)
+    return scored if k is None else scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
+
+
+def _scored(own: DataFrame, node, needed: Sequence[str], phrased: Sequence[str], frequency: dict[str, int], docs: int, average: float) -> DataFrame:
+    """doc_id and score > 0 of the documents that match, from their postings."""
     at = {t: i for i, t in enumerate(needed)}
     mine = lambda t, c: F.when(F.col("term") == t, F.col(c))
     rows = own.groupBy("doc_id").agg(
@@ -114,11 +126,10 @@ def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: D
         *[F.coalesce(F.max(mine(t, "tf")), F.lit(0)).cast("double").alias(f"tf{i}") for t, i in at.items()],
         *[F.first(mine(t, "positions"), ignorenulls=True).alias(f"at{at[t]}") for t in phrased],
     )
-    average = F.lit(float(tokens / docs) if docs and tokens else 1.0)
 
     def weight(t: str) -> Column:
         rarity = X.idf(F.lit(float(docs)), F.lit(float(frequency.get(t, 0))))
-        return rarity * X.term_weight(F.col(f"tf{at[t]}"), F.col("length"), average)
+        return rarity * X.term_weight(F.col(f"tf{at[t]}"), F.col("length"), F.lit(average))
 
     def side_by_side(terms: Sequence[str]) -> Column:
         """Whether some position of the first term is followed by positions of the others."""
@@ -126,8 +137,38 @@ def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: D
         return F.exists(f"at{at[terms[0]]}", following)
 
     hit, total = X.points(node, lambda t: F.col(f"tf{at[t]}"), weight, side_by_side)
-    out = rows.where(hit).select("doc_id", total.alias("score")).where("score > 0")
-    return out if k is None else out.orderBy(F.col("score").desc(), "doc_id").limit(k)
+    return rows.where(hit).select("doc_id", total.alias("score")).where("score > 0")
+
+
+def _promising(own: DataFrame, boosts: dict[str, float], frequency: dict[str, int], docs: int, average: float, k: int) -> DataFrame:
+    """Postings of an OR of terms without those that can't decide its k best.
+
+    The k-th best score by the rarest terms alone is a limit that the answer can't fall below. Frequent terms that even together
+    can't reach it (a term adds less than its idf times K1 + 1) decide nothing alone: of their postings only those of documents
+    with another term are kept, so that the long lists of frequent words aren't shuffled.
+    """
+    most = {t: boost * max(0.0, log((docs - frequency.get(t, 0) + 0.5) / (frequency.get(t, 0) + 0.5) + 1)) * (X.K1 + 1) for t, boost in boosts.items()}
+    rare, held = [], 0
+    for t in sorted(boosts, key=lambda t: (frequency.get(t, 0), t)):
+        if held < k:
+            rare.append(t)
+            held += frequency.get(t, 0)
+    if len(rare) == len(boosts):
+        return own
+    part = X.Or(tuple(X.Term(t, boosts[t]) for t in rare))
+    best = _scored(own.where(F.col("term").isin(rare)), part, rare, [], frequency, docs, average).orderBy(F.col("score").desc()).limit(k).agg(F.count("*"), F.min("score")).first()
+    if best[0] < k:
+        return own
+    idle, total = [], 0.0
+    for t in sorted(set(boosts) - set(rare), key=lambda t: (most[t], t)):
+        if total + most[t] >= best[1] * (1 - 1e-9):
+            break
+        total += most[t]
+        idle.append(t)
+    if not idle:
+        return own
+    deciding = own.where(~F.col("term").isin(idle))
+    return deciding.unionByName(own.where(F.col("term").isin(idle)).join(deciding.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 def _phrases(node) -> list[X.Phrase]:

@@ -326,6 +326,28 @@ def test_a_text_search_reads_its_terms_only(spark, tmp_path, monkeypatch):
     assert {d.id for d in c.query(Query("text", fts=Fts(match_string="word3")), 99)} == {f"p{k}" for k in range(200) if k % 7 == 3 or k == 3}
 
 
+def test_pruned_searches_find_the_same(spark, tmp_path):
+    """Frequent terms that can't decide the answer: the same documents and scores, from fewer postings."""
+    from tessera.operators import postings as P
+
+    r = random.Random(8)
+    spec = CollectionSpec("texts", (FieldSpec("text", "STRING", True, 0, FtsIndex()),))
+    c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
+    c.upsert_df(spark.createDataFrame([(f"p{k:03d}", " ".join(["the"] * r.randint(0, 5) + ["of"] * r.randint(0, 2) + ["rare"] * (k % 30 == 0) + ["odd"] * (k % 41 == 0) + ["pad"] * r.randint(1, 9))) for k in range(400)], "pk string, text string"))
+    index, known = c.postings(c.schema.get("text")), c.manifest.texts["text"]
+    fewer = 0
+    for text in ("the of rare odd", "rare the", "odd of the pad", "the of", "none the odd"):
+        node = X.match(text)
+        for k in (1, 5, 20):
+            plain = [tuple(x) for x in P.search(index, node, k, known["docs"], known["tokens"], prune_from=1 << 60).collect()]
+            pruned = [tuple(x) for x in P.search(index, node, k, known["docs"], known["tokens"], prune_from=0).collect()]
+            assert [(i, round(s, 9)) for i, s in pruned] == [(i, round(s, 9)) for i, s in plain], (text, k)
+        terms = text.split()
+        df = {x.term: x["count"] for x in index.of_terms(terms).groupBy("term").count().collect()}
+        fewer += P._promising(index.of_terms(terms), dict.fromkeys(terms, 1.0), df, known["docs"], known["tokens"] / known["docs"], 5).count() < sum(df.values())
+    assert fewer >= 2
+
+
 def test_tokenizer_parameters(spark, tmp_path):
     spec = CollectionSpec("texts", (FieldSpec("text", "STRING", True, 0, FtsIndex(extra_params='{"max_token_length": 4}')),))
     c = Collection.create_and_open(spark, f"file://{tmp_path}/t", spec)
