@@ -243,14 +243,53 @@ def rabitq_score(code: Column, query: np.ndarray, rotation: np.ndarray, centroid
 # --- codes of an index ------------------------------------------------------------------------------------------------------
 
 
+def with_norm(q: Column) -> Column:
+    """Codes of int8() or int4() with the squared length of the vector that they stand for, so that a search needs products alone."""
+    square = lambda s: F.aggregate(dequantize(s), F.lit(0.0), lambda t, x: t + x * x)
+    return let(q, lambda s: F.struct(s["codes"].alias("codes"), s["scale"].alias("scale"), s["bias"].alias("bias"), square(s).alias("norm2")))
+
+
+def record_score(q: Column, query, metric: str) -> Column:
+    """Score of codes with their norms, without turning them back: integer codes are multiplied with the query and added up, and the
+    record's scale and bias come in once a row."""
+    query = [float(x) for x in query]
+    total, square = sum(query), sum(x * x for x in query)
+
+    def of(s: Column) -> Column:
+        dot = F.aggregate(F.zip_with(s["codes"], F.array(*[F.lit(x) for x in query]), lambda c, x: c * x), F.lit(0.0), lambda t, x: t + x)
+        product = s["scale"] * dot + s["bias"] * total
+        if metric == "IP":
+            return product
+        if metric == "L2":
+            return s["norm2"] - 2 * product + square
+        return F.when((s["norm2"] <= 0) | F.lit(square == 0), F.lit(1.0)).otherwise(1 - product / F.sqrt(s["norm2"] * square))
+
+    return F.when(F.size(q["codes"]) == len(query), let(q, of))
+
+
+def coded_score(q: Column, code: dict, query, metric: str) -> Column | None:
+    """Score of what encoded() stores, from the codes themselves; None where only decoded vectors will do."""
+    if metric not in ("L2", "IP", "COSINE"):
+        return None
+    if code["kind"] == "INT8":
+        return record_score(q, query, metric)
+    if code["kind"] == "INT4":
+        whole = lambda s: F.struct(F.slice(unpack_int4(s["codes"], 2 * F.size(s["codes"])), 1, s["n"]).alias("codes"), s["scale"].alias("scale"), s["bias"].alias("bias"), s["norm2"].alias("norm2"))
+        return let(q, lambda s: record_score(whole(s), query, metric))
+    if code["kind"] == "RABITQ" and metric != "COSINE":
+        return rabitq_score(q, np.array(query, np.float64), random_rotation(code["dimension"], code["seed"]), np.array(code["centroids"]), metric, code["bits"])
+    return None
+
+
 def encoded(v: Column, code: dict) -> Column:
     """A vector as an index stores it. code: its kind (FP16, INT8, INT4, RABITQ) and what that needs."""
     if code["kind"] == "FP16":
         return fp16(v)
     if code["kind"] == "INT8":
-        return int8(v)
+        return with_norm(int8(v))
     if code["kind"] == "INT4":
-        return let(F.struct(int4(v).alias("q"), F.size(v).alias("n")), lambda s: F.struct(pack_int4(s["q"]["codes"]).alias("codes"), s["q"]["scale"].alias("scale"), s["q"]["bias"].alias("bias"), s["n"].alias("n")))
+        own = F.struct(with_norm(int4(v)).alias("q"), F.size(v).alias("n"))
+        return let(own, lambda s: F.struct(pack_int4(s["q"]["codes"]).alias("codes"), s["q"]["scale"].alias("scale"), s["q"]["bias"].alias("bias"), s["q"]["norm2"].alias("norm2"), s["n"].alias("n")))
     return rabitq(v, random_rotation(code["dimension"], code["seed"]), np.array(code["centroids"]), code["bits"])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from tessera.functions import metrics as M
 from tessera.functions import quantize as Q
-from tessera.operators.search import QUERY_BLOCK_BYTES, knn
+from tessera.operators.search import QUERY_BLOCK_BYTES, knn, scored
 from tessera.sources.files import read_text, write_text
 
 
@@ -175,16 +175,30 @@ class IvfIndex:
         x = json.loads(read_text(spark, f"{path}/centroids.json"))
         return cls(spark, path, x["vector"], x["key"], x["metric"], Centroids(np.array(x["points"], np.float64), x["cosine"]), x.get("code"))
 
-    def rows(self) -> DataFrame:
-        """key, vector (as its code says it), cell_id."""
+    def _stored(self, query: Sequence[float] | None = None, nprobe: int = 0) -> DataFrame:
+        """Rows as they lie, for a query those of its nprobe nearest cells: of no other cell a file is read."""
         rows = self.spark.read.parquet(f"{self.path}/cells")
+        if query is None or not len(self.centroids.points):
+            return rows
+        return rows.where(F.col("cell_id").isin(self.centroids.nearest(query, nprobe)))
+
+    def _read(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(self.vector, Q.decoded(F.col(self.vector), self.code)) if self.code else rows
 
+    def rows(self) -> DataFrame:
+        """key, vector (as its code says it), cell_id."""
+        return self._read(self._stored())
+
     def near(self, query: Sequence[float], nprobe: int) -> DataFrame:
-        """Rows of the nprobe cells nearest to a query; of no other cell a file is read."""
-        if not len(self.centroids.points):
-            return self.rows()
-        return self.rows().where(F.col("cell_id").isin(self.centroids.nearest(query, nprobe)))
+        """Rows of the nprobe cells nearest to a query."""
+        return self._read(self._stored(query, nprobe))
+
+    def scored(self, query: Sequence[float], nprobe: int) -> DataFrame:
+        """key, score of the rows of the nprobe cells nearest to a query; by the codes themselves if there are such."""
+        score = Q.coded_score(F.col(self.vector), self.code, query, self.metric) if self.code else None
+        if score is None:
+            return scored(self.near(query, nprobe), query, self.vector, self.metric).select(self.key, "score")
+        return self._stored(query, nprobe).select(self.key, score.alias("score")).where("score is not null")
 
     def search(self, query: Sequence[float], k: int, nprobe: int = 10, where: Column | None = None, radius: float | None = None) -> DataFrame:
         """The k best rows of the nprobe nearest cells; as many cells as there are makes it exact."""

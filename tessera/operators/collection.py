@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 
 from tessera.config import settings
 from tessera.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, NotSupported, PermissionDenied
+from tessera.functions.metrics import DESCENDING
 from tessera.operators import fulltext as X
 from tessera.operators import postings as P
 from tessera.operators import search as S
@@ -359,23 +360,25 @@ class Collection:
         written since it was made, of which alone the data is read. With a refiner the best by code are scored exactly."""
         cells = Cells.open(self.spark, f"{self.path}/index/{known['path']}")
         covered = self._covered(known)
-        inside = cells.near(v, getattr(q.param, "nprobe", 10)).select("doc_id", f.name)
+        inside = cells.scored(v, getattr(q.param, "nprobe", 10))
         gone = self._gone(covered)
         if gone is not None:
             inside = inside.join(gone, "doc_id", "left_anti")
         if where is not None:
             inside = inside.join(self.docs(segments=covered).where(where).select("doc_id"), "doc_id", "left_semi")
-        rest = [s for s in self.manifest.segments if s not in covered]
-        outside = self.docs(segments=rest) if rest else None
-        if outside is not None:
-            outside = (outside if where is None else outside.where(where)).select("doc_id", f.name)
-        refine = known.get("quantize") and getattr(q.param, "is_using_refiner", False)
-        if refine:
+        order = S.ordered(inside, f.metric, "doc_id")
+        if known.get("quantize") and getattr(q.param, "is_using_refiner", False):
             many = min(MAX_TOPK, max(k, int(k * getattr(q.param, "scale_factor", SCALE))))
-            best = S.knn(inside, v, many, "doc_id", f.name, f.metric).select("doc_id")
-            inside = self.docs(segments=covered).select("doc_id", f.name).join(F.broadcast(best), "doc_id", "left_semi")  # MAX_TOPK rows at most
-        base = inside if outside is None else inside.unionByName(outside)
-        return S.knn(base, v, k, "doc_id", f.name, f.metric, None, radius).select("doc_id", "score")
+            best = inside.orderBy(*order).limit(many).select("doc_id")
+            few = self.docs(segments=covered).select("doc_id", f.name).join(F.broadcast(best), "doc_id", "left_semi")  # MAX_TOPK rows at most
+            inside = S.scored(few, v, f.name, f.metric).select("doc_id", "score")
+        rest = [s for s in self.manifest.segments if s not in covered]
+        if rest:
+            new = self.docs(segments=rest)
+            inside = inside.unionByName(S.scored(new if where is None else new.where(where), v, f.name, f.metric).select("doc_id", "score"))
+        if radius:
+            inside = inside.where(F.col("score") >= radius if DESCENDING[f.metric] else F.col("score") <= radius)
+        return inside.orderBy(*order).limit(k).where("score is not null")
 
     # --- writing -------------------------------------------------------------------------------------------------------------
 

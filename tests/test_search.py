@@ -145,6 +145,20 @@ def test_rabitq(spark, bits, off):
     assert all(max(row.c.codes) < 2**bits for row in code.where("id < 200").collect())
 
 
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE"])
+@pytest.mark.parametrize("kind", ["INT8", "INT4", "FP16"])
+def test_scores_from_codes(base, metric, kind):
+    """Integer codes give the scores of the vectors that they stand for."""
+    code = {"kind": kind}
+    one = base.where("id < 300").withColumn("c", Q.encoded(F.col("v"), code))
+    direct = Q.coded_score(F.col("c"), code, QUERY, metric)
+    if kind == "FP16":
+        assert direct is None
+        return
+    rows = one.select(direct.alias("a"), M.score(metric, Q.decoded(F.col("c"), code), QUERY).alias("b")).collect()
+    assert len(rows) == 300 and np.allclose([r.a for r in rows], [r.b for r in rows], atol=1e-9)
+
+
 def test_fp16_of_odd_rows(spark):
     df = spark.createDataFrame([(0, [0.1, 2.0]), (1, None), (2, []), (3, [70000.0])], "id int, v array<float>")
     got = [r[0] for r in df.select(Q.fp16(F.col("v")), "id").orderBy("id").collect()]
