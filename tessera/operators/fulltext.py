@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ K1, B = 1.2, 0.75
 LONGEST = 255
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+#: Letters and digits as they are, all other bytes as blanks; the same with A-Z lowered.
+ALNUM = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
+LOWER_ALNUM = bytes(b + 32 if 65 <= b <= 90 else b for b in ALNUM)
+
 # --- analyzers ----------------------------------------------------------------------------------------------------------------
 
 
@@ -63,28 +68,51 @@ class Analyzer:
             terms = F.transform(terms, lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         return F.transform(terms, lambda t: F.when(F.octet_length(t) <= self.longest, t))
 
-    def positions(self, text: str) -> list[str | None]:
-        """As column(), for one text."""
+    def splitter(self) -> Callable[[str], list[str | None]]:
+        """As column(), for one text: a function that carries its tokenizer with it to the executors."""
         if self.tokenizer not in TOKENIZERS:
             raise NotSupported(f"tokenizer {self.tokenizer}")
-        out = TOKENIZERS[self.tokenizer][1](text.translate(LOWER) if self.lowercase else text)
-        return [t if len(t) * 4 <= self.longest or len(t.encode()) <= self.longest else None for t in out]
+        words, lowercase, longest = TOKENIZERS[self.tokenizer][1], self.lowercase, self.longest
+
+        def split(text: str) -> list[str | None]:
+            out = words(text.translate(LOWER) if lowercase else text)
+            return [t if len(t) * 4 <= longest or len(t.encode("utf-8", "surrogatepass")) <= longest else None for t in out]
+
+        return split
+
+    def byte_splitter(self) -> Callable[[str], list[bytes | None]]:
+        """The same terms as UTF-8. Those of the standard tokenizer are runs of certain bytes: no character needs to be looked at."""
+        if self.tokenizer != "standard":
+            split = self.splitter()
+            return lambda text: [None if t is None else t.encode("utf-8", "surrogatepass") for t in split(text)]
+        longest, table = self.longest, LOWER_ALNUM if self.lowercase else ALNUM
+
+        def split(text: str) -> list[bytes | None]:
+            words = text.encode("utf-8", "surrogatepass").translate(table).split()
+            if len(text) > longest and words and max(map(len, words)) > longest:
+                return [w if len(w) <= longest else None for w in words]
+            return words
+
+        return split
+
+    def positions(self, text: str) -> list[str | None]:
+        return self.splitter()(text)
 
     def terms(self, text: str) -> list[str]:
         return [t for t in self.positions(text) if t is not None]
 
 
-#: For each tokenizer: terms of a column, terms of a text, and the characters that terms are runs of, if they are.
-TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]], str | None]] = {
-    "standard": (lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1), lambda s: re.findall("[A-Za-z0-9]+", s), "A-Za-z0-9"),
-    "whitespace": (lambda c: F.filter(F.split(c, "[ \t\n\x0b\f\r]+"), lambda t: t != ""), lambda s: [t for t in re.split("[ \t\n\x0b\f\r]+", s) if t], "^ \\t\\n\\x0B\\f\\r"),
+#: For each tokenizer: terms of a column, terms of a text.
+TOKENIZERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]]]] = {
+    "standard": (lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1), lambda s: re.findall("[A-Za-z0-9]+", s)),
+    "whitespace": (lambda c: F.filter(F.split(c, "[ \t\n\x0b\f\r]+"), lambda t: t != ""), lambda s: [t for t in re.split("[ \t\n\x0b\f\r]+", s) if t]),
 }
 
 
-def register_tokenizer(name: str, column: Callable[[Column], Column], words: Callable[[str], list[str]], run_of: str | None = None) -> None:
-    """Add a tokenizer, e.g. a dictionary segmenter as a pandas UDF with its driver-side twin. run_of: a character class (without
-    brackets) if its terms are just the longest runs of some characters; searches are faster then."""
-    TOKENIZERS[name] = (column, words, run_of)
+def register_tokenizer(name: str, column: Callable[[Column], Column], words: Callable[[str], list[str]]) -> None:
+    """Add a tokenizer, e.g. a dictionary segmenter: as a function of a column, and of a text. The second is sent to the executors with
+    what uses it."""
+    TOKENIZERS[name] = (column, words)
 
 
 # --- the query's tree -------------------------------------------------------------------------------------------------------------
@@ -325,54 +353,63 @@ def term_weight(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-class _Terms:
-    """Counts of terms in a row as Columns. Where terms are runs of characters, the text is first brought into a form in which each
-    term stands between blanks of its own, once a row, and terms are then counted by plain search in that; else, or where terms
-    are stored, they are counted in the array of terms."""
-
-    def __init__(self, text: str, analyzer: Analyzer, tokens: str | None) -> None:
-        self.run_of = TOKENIZERS[analyzer.tokenizer][2] if tokens is None and analyzer.tokenizer in TOKENIZERS else None
-        self.analyzer, self.text = analyzer, F.col(text)
-        self.form = self._form() if self.run_of else F.col(tokens) if tokens else analyzer.column(self.text)
-
-    def _form(self) -> Column:
-        between = f"[{self.run_of[1:]}]+" if self.run_of[0] == "^" else f"[^{self.run_of}]+"
-        apart = F.regexp_replace(self.text, between, "  ")
-        if self.analyzer.lowercase:
-            # nothing but ASCII is left of most texts, for which lower() is the faster way
-            ascii_only = self.run_of == TOKENIZERS["standard"][2]
-            apart = F.lower(apart) if ascii_only else F.translate(apart, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.concat(F.lit(" "), apart, F.lit(" "))
-
-    def count(self, form: Column, term: str) -> Column:
-        if self.run_of:
-            return ((F.octet_length(form) - F.octet_length(F.replace(form, F.lit(f" {term} ")))) / (len(term.encode()) + 2)).cast("double")
-        return F.size(F.filter(form, lambda x: x == term)).cast("double")
-
-    def has(self, form: Column, term: str) -> Column:
-        return F.contains(form, F.lit(f" {term} ")) if self.run_of else F.coalesce(F.array_contains(form, term), F.lit(False))
-
-    def phrase(self, form: Column, terms: tuple[str, ...]) -> Column:
-        if self.run_of:
-            return F.contains(form, F.lit(" " + "  ".join(terms) + " "))
-        starts = F.sequence(F.lit(0), F.size(form) - len(terms))
-        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(form, i + k) == t, F.lit(False)) for k, t in enumerate(terms)])
-        return F.when(F.size(form) >= len(terms), F.exists(starts, here)).otherwise(F.lit(False))
-
-    def length(self, form: Column) -> Column:
-        """Terms that count: not the rare ones of too many bytes."""
-        if not self.run_of:
-            return F.size(F.filter(form, lambda x: x.isNotNull())).cast("double")
-        bare, most = F.trim(form), self.analyzer.longest
-        runs = F.when(bare == "", 0).otherwise(F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit("  "), F.lit(" "))) + 1)
-        long = F.regexp_extract_all(form, F.lit(f"([^ ]{{{most // 4 + 1},}}+)"), 1)
-        return (runs - F.when(F.octet_length(form) > most, F.size(F.filter(long, lambda t: F.octet_length(t) > most))).otherwise(0)).cast("double")
+def _counter(analyzer: Analyzer, terms: list[str], phrases: list[tuple[str, ...]]) -> Callable[[str | None], list[int] | None]:
+    """Function from a text to: how many terms it has, how many of each of `terms`, and 1 or 0 for each of `phrases`."""
+    split, wanted, runs = analyzer.byte_splitter(), [t.encode() for t in terms], [[t.encode() for t in p] for p in phrases]
+
+    def count(text: str | None) -> list[int] | None:
+        if text is None:
+            return None
+        words = split(text)
+        out = [len(words) - words.count(None), *map(words.count, wanted)]
+        for run in runs:
+            there, at = 0, -1
+            try:
+                while not there:
+                    at = words.index(run[0], at + 1)
+                    there = int(words[at : at + len(run)] == run)
+            except ValueError:
+                pass
+            out.append(there)
+        return out
+
+    return count
+
+
+def facts(text: Column, analyzer: Analyzer, terms: list[str], phrases: list[tuple[str, ...]] = ()) -> Column:
+    """_counter() as a Column, an array of ints. An Arrow-batched UDF: splitting bytes takes a small part of what a regular expression
+    for each row takes."""
+
+    count = _counter(analyzer, terms, list(phrases))
+
+    @F.pandas_udf("array<int>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(count)
+
+    return counted(text)
+
+
+def _stored_facts(tokens: Column, terms: list[str], phrases: list[tuple[str, ...]]) -> Column:
+    """The same from a column with the terms in order, null where a position has none."""
+
+    def has(form: Column, some: tuple[str, ...]) -> Column:
+        starts = F.sequence(F.lit(0), F.size(form) - len(some))
+        here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(form, i + k) == t, F.lit(False)) for k, t in enumerate(some)])
+        return F.when(F.size(form) >= len(some), F.exists(starts, here)).otherwise(F.lit(False)).cast("int")
+
+    return let(tokens, lambda form: F.array(F.size(F.filter(form, lambda x: x.isNotNull())), *[F.size(F.filter(form, lambda x: x == t)) for t in terms], *[has(form, p) for p in phrases]))  # noqa: B023
 
 
 def term_counts(docs: DataFrame, text: str, terms: list[str], analyzer: Analyzer = Analyzer()) -> Column:  # noqa: B008
     """How often each of some terms stands in a text, as an array in their order; null for null."""
-    own = _Terms(text, analyzer, None)
-    return F.when(F.col(text).isNotNull(), let(own.form, lambda form: F.array(*[own.count(form, t) for t in terms])))
+    return F.slice(facts(F.col(text), analyzer, terms), 2, len(terms))
+
+
+def phrases_of(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node]
+    parts = node.parts if isinstance(node, Or) else (*node.must, *node.should, *node.must_not) if isinstance(node, And) else ()
+    return [p for x in parts for p in phrases_of(x)]
 
 
 def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer: Analyzer = Analyzer(), where: Column | None = None, tokens: str | None = None) -> DataFrame:  # noqa: B008
@@ -387,31 +424,19 @@ def search(docs: DataFrame, node, k: int | None, key: str, text: str, analyzer:
         return base.withColumn("score", F.lit(0.0)).where(F.lit(False))
     if k is not None and not 0 < k <= MAX_TOPK:
         raise InvalidArgument(f"topk {k}")
-    needed = terms_of(node)
-    terms = _Terms(text, analyzer, tokens)
-    # each row is brought into form once a pass
-    facts = let(terms.form, lambda form: F.struct(terms.length(form).alias("length"), *[terms.has(form, t).cast("int").alias(f"has{i}") for i, t in enumerate(needed)]))
-    stats = base.select(facts.alias("f")).agg(
-        F.count("*").cast("double").alias("__n"), F.coalesce(F.avg("f.length"), F.lit(1.0)).alias("__average"),
-        *[F.coalesce(F.sum(f"f.has{i}"), F.lit(0)).cast("double").alias(f"__df{i}") for i in range(len(needed))],
+    needed, phrases = terms_of(node), list(dict.fromkeys(p.terms for p in phrases_of(node)))
+    own = _stored_facts(F.col(tokens), needed, phrases) if tokens else facts(F.col(text), analyzer, needed, phrases)
+    stats = base.select(own.alias("f")).agg(
+        F.count("*").cast("double").alias("__n"), F.coalesce(F.avg(F.col("f")[0]), F.lit(1.0)).alias("__average"),
+        *[F.coalesce(F.sum((F.col("f")[i] > 0).cast("int")), F.lit(0)).cast("double").alias(f"__df{i}") for i in range(1, len(needed) + 1)],
     )
-    place = {t: i for i, t in enumerate(needed)}
-    own = base if where is None else base.where(where)
-    own = own.crossJoin(F.broadcast(stats))  # one row
+    place = {t: i for i, t in enumerate(needed, 1)}
+    rows = (base if where is None else base.where(where)).withColumn("__f", own).crossJoin(F.broadcast(stats))  # one row
     average = F.when(F.col("__average") > 0, F.col("__average")).otherwise(F.lit(1.0))
-
-    def scored(form: Column) -> Column:
-        """The score of a row from its terms, null if it doesn't match."""
-        counts = F.struct(*[terms.count(form, t).alias(f"tf{i}") for t, i in place.items()], terms.length(form).alias("length"))
-
-        def from_counts(row: Column) -> Column:
-            weight = lambda t: idf(F.col("__n"), F.col(f"__df{place[t]}")) * term_weight(row[f"tf{place[t]}"], row["length"], average)
-            hit, total = points(node, lambda t: row[f"tf{place[t]}"], weight, lambda some: terms.phrase(form, some))
-            return F.when(hit, total)
-
-        return let(counts, from_counts)
-
-    out = own.select(*[c for c in docs.columns if c != "score"], let(terms.form, scored).alias("score"))
+    tf = lambda t: F.col("__f")[place[t]].cast("double")
+    weight = lambda t: idf(F.col("__n"), F.col(f"__df{place[t]}")) * term_weight(tf(t), F.col("__f")[0].cast("double"), average)
+    hit, total = points(node, tf, weight, lambda some: F.col("__f")[len(needed) + 1 + phrases.index(some)] > 0)
+    out = rows.select(*[c for c in docs.columns if c != "score"], F.when(hit, total).alias("score"))
     if k is None:
         return out.where("score > 0")
     return out.orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).where("score > 0")
@@ -443,7 +468,7 @@ def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer
     """term, key, tf, positions, length: one row for each term of each document, and, with lengths, one without a term for each
     document. Terms are counted inside the document, in an Arrow-batched map: no shuffle, and a word that every document holds is no
     group of its own here."""
-    each = lengths
+    each, split = lengths, analyzer.byte_splitter()
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,8 +477,8 @@ def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer
                 part = batch.slice(at, 128)
                 terms, rows, places, lengths = [], [], [], []
                 for row, value in enumerate(part.column(1).to_pylist()):
-                    own: dict[str, list[int]] = {}
-                    for i, t in enumerate(analyzer.positions(value)):
+                    own: dict[bytes, list[int]] = {}
+                    for i, t in enumerate(split(value)):
                         if t is not None:
                             own.setdefault(t, []).append(i)
                     terms += own
@@ -466,7 +491,7 @@ def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer
                         places.append(())
                     lengths += [total] * (len(own) + each)
                 tf = pa.array(list(map(len, places)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.int32())], names=["term", "key", "tf", "positions", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), part.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.int32())], names=["term", "key", "tf", "positions", "length"])
 
     return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"term string, key {kind.simpleString()}, tf int, positions array<int>, length int")
 
@@ -478,20 +503,22 @@ def term_stats(p: DataFrame) -> DataFrame:
 
 def term_stats_of(docs: DataFrame, text: str, analyzer: Analyzer = Analyzer(), most: int = 200_000) -> DataFrame:  # noqa: B008
     """As term_stats(), from the texts: terms are counted inside the tasks, `most` terms at a time, before they are shuffled."""
+    split = analyzer.byte_splitter()
     schema = pa.schema([("term", pa.string()), ("df", pa.int64()), ("max_tf", pa.int32()), ("min_length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            columns = [list(held), *zip(*held.values(), strict=True)] if held else [[]] * 4
-            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+            counts = zip(*held.values(), strict=True) if held else [[]] * 3
+            columns = [pa.array(list(held), pa.binary()).cast(pa.string()), *(pa.array(x, f.type) for x, f in zip(counts, list(schema)[1:], strict=True))]
+            out = pa.RecordBatch.from_arrays(columns, schema=schema)
             held.clear()
             return out
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                own = Counter(analyzer.positions(value))
+                own = Counter(split(value))
                 own.pop(None, None)
                 length = own.total()
                 for t, tf in own.items():

@@ -100,7 +100,7 @@ def search(index: Postings, node, k: int | None, docs: int, tokens: int, gone: D
     if k is not None and not 0 < k <= MAX_TOPK:
         raise InvalidArgument(f"topk {k}")
     needed = X.terms_of(node)
-    phrased = sorted({t for p in _phrases(node) for t in p.terms})
+    phrased = sorted({t for p in X.phrases_of(node) for t in p.terms})
     own = index.of_terms(needed)
     if gone is not None:
         own = own.join(gone, "doc_id", "left_anti")
@@ -169,10 +169,3 @@ def _promising(own: DataFrame, boosts: dict[str, float], frequency: dict[str, in
         return own
     deciding = own.where(~F.col("term").isin(idle))
     return deciding.unionByName(own.where(F.col("term").isin(idle)).join(deciding.select("doc_id").distinct(), "doc_id", "left_semi"))
-
-
-def _phrases(node) -> list[X.Phrase]:
-    if isinstance(node, X.Phrase):
-        return [node]
-    parts = node.parts if isinstance(node, X.Or) else (*node.must, *node.should, *node.must_not) if isinstance(node, X.And) else ()
-    return [p for x in parts for p in _phrases(x)]

@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import InvalidArgument
 from tessera.operators import fulltext as X
@@ -140,3 +142,25 @@ def test_embeddings(spark):
     assert [r.embedding for r in R.embed_column(df, "t", Letters()).collect()] == [[3.0, 6.0], None, [0.0, 0.0]]
     got = R.embed_sparse_column(df.where("t is not null"), "t", Sparse()).collect()
     assert [(r.embedding["indices"], r.embedding["values"]) for r in got][0] == ([3, 6], [0.5, 1.0])
+
+
+def test_a_tokenizer_of_ones_own(spark):
+    """Registered on the driver, used in the executors."""
+    X.register_tokenizer("pairs", lambda c: F.filter(F.split(c, ""), lambda t: t != " "), lambda s: [c for c in s if c != " "])
+    docs = spark.createDataFrame([(1, "ab a"), (2, "b b"), (3, None)], "id long, content string")
+    a = X.Analyzer("pairs")
+    assert [r.id for r in X.search(docs, X.Term("a"), 9, "id", "content", a).collect()] == [1]
+    assert {(r.term, r.df) for r in X.term_stats_of(docs, "content", a).collect()} == {("a", 1), ("b", 2)}
+    assert {(r.term, r.key, r.tf) for r in X.postings(docs, "id", "content", a).collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 2)}
+
+
+def test_counts_by_bytes_and_by_the_tokenizer(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice(["a", "B", "b", "é", " ", "-", "1", "\n", "aa", "x" * 300, "日"]) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    for a in (X.Analyzer(), X.Analyzer(lowercase=False), X.Analyzer("whitespace"), X.Analyzer(longest=1)):
+        count = X._counter(a, ["a", "b", "1"], [("a", "b"), ("b", "b", "1")])
+        for t in texts:
+            p = a.positions(t)
+            phrase = lambda *w: int(any(p[i : i + len(w)] == list(w) for i in range(len(p))))  # noqa: B023, E731
+            assert count(t) == [len(p) - p.count(None), p.count("a"), p.count("b"), p.count("1"), phrase("a", "b"), phrase("b", "b", "1")], (a, t)
+    assert count(None) is None
