@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import discard, fresh_path, pieces, remove, stash, texts_of
+from tessera.llm._shared import fresh_path, pieces, remove, stash, texts_of
 
 #: Samples in a row of the stored image; a payload is a positive multiple of it.
 WIDTH = 576
@@ -122,7 +122,11 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
 
-def store_texts(docs: DataFrame, folder: str) -> DataFrame:
+#: Contents with several places, of some 150 bytes each, that are broadcast once their number is known; more are joined.
+BROADCAST_ROWS = 100_000
+
+
+def store_texts(docs: DataFrame, folder: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Store each text as an image in tar shards under folder; one row a document with where and what is stored.
 
     Each task writes shards of its own and reads them back; a shard holds a content once, under its SHA-256. A content that
@@ -160,21 +164,27 @@ def store_texts(docs: DataFrame, folder: str) -> DataFrame:
             yield finish()
 
     met = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "media-met")
-    # joined by content and shard: a content of a third of all rows is dealt by the shards that hold it
-    held = met.select("media_sha256", F.col("shard").alias("held")).distinct().join(canonical(met).hint("merge"), "media_sha256")
-    rows = met.drop("offset").withColumnRenamed("shard", "held").join(held.hint("merge"), ["media_sha256", "held"])
-    out = stash(rows.select(*met.columns), "media-rows")
-    unused = met.select("shard").distinct().join(out.select("shard").distinct(), "shard", "left_anti")
-    for row in unused.toLocalIterator():
+    first = stash(first_places(met), "media-places")
+    digest = F.unhex("media_sha256")
+    if first.count() <= broadcast_rows:
+        place = F.broadcast(first.select(F.col("digest").alias("__digest"), F.col("place").alias("__place")))
+        out = met.join(place, digest == F.col("__digest"), "left")
+    else:
+        # joined by content and shard: a content of a third of all rows is dealt by the shards that hold it
+        held = met.select(digest.alias("digest"), "shard").distinct().join(first.hint("merge"), "digest")
+        place = held.select(F.col("digest").alias("__digest"), F.col("shard").alias("__held"), F.col("place").alias("__place")).hint("merge")
+        out = met.join(place, (digest == F.col("__digest")) & (F.col("shard") == F.col("__held")), "left")
+    moved = {"shard": F.coalesce("__place.shard", "shard"), "offset": F.coalesce("__place.offset", "offset")}
+    out = out.withColumns(moved).select(*met.columns)
+    for row in met.select("shard").distinct().join(out.select("shard").distinct(), "shard", "left_anti").toLocalIterator():
         remove(docs.sparkSession, f"{folder}/{row.shard}")
-    discard(met)
     return out
 
 
-def canonical(stored: DataFrame) -> DataFrame:
-    """One place for each content: media_sha256, shard, offset."""
-    place = F.min(F.struct("shard", "offset")).alias("p")
-    return stored.groupBy("media_sha256").agg(place).select("media_sha256", "p.*")
+def first_places(stored: DataFrame) -> DataFrame:
+    """digest, place (shard, offset): the first place of each content that several shards hold."""
+    places = stored.groupBy(F.unhex("media_sha256").alias("digest")).agg(F.min(F.struct("shard", "offset")).alias("place"), F.max("shard").alias("last"))
+    return places.where(F.col("place.shard") < F.col("last")).select("digest", "place")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

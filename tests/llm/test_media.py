@@ -39,10 +39,11 @@ def test_rows_point_into_shards(odd, none, tmp_path, monkeypatch):
     assert M.store_texts(none, f"file://{tmp_path}").count() == 0
 
 
-def test_equal_texts_have_equal_values_on_several_partitions(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_equal_texts_have_equal_values_on_several_partitions(spark, tmp_path, broadcast_rows):
     rows = [(k, ("common text " * 50, "another", None, f"own {k}")[k % 4]) for k in range(400)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, shard int, offset int").repartition(7)
-    out = M.store_texts(docs, f"file://{tmp_path}")
+    out = M.store_texts(docs, f"file://{tmp_path}", broadcast_rows)
     by = {}
     for r in out.collect():
         text = dict(rows)[r.doc_id] or ""
