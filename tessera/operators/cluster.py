@@ -51,10 +51,16 @@ def _assigned(df: DataFrame, centroids, vector: str, cell: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int = 10, seed: int = 7, cosine: bool = False, sample: int = 100_000) -> Centroids:
+#: Bytes of vectors near the border of two cells that the driver takes at once.
+NEAR_BYTES = 16 << 20
+#: Margins of vectors are counted by these steps.
+MARGINS = 2.0 ** (np.arange(-80, 1) / 4)
+
+
+def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int | None = 10, seed: int = 7, cosine: bool = False, sample: int = 100_000) -> Centroids:
     """Lloyd's algorithm; vectors of another length or with nulls take no part. Starting points are spread out over a sample of at most `sample` rows (the smallest hashes of the key);
     each round sums and counts the vectors of each cell inside the tasks, so k sums a task travel. Empty cells keep their place.
-    Fewer distinct vectors than k: fewer cells."""
+    iterations None: until the points stay (to 1e-5). Fewer distinct vectors than k: fewer cells."""
     own = df.select(key, vector).where(F.col(vector).isNotNull())
     rows = own.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(min(sample, 50 * k)).select(vector).collect()
     size = max((len(r[0]) for r in rows), default=1)
@@ -65,41 +71,118 @@ def kmeans(df: DataFrame, vector: str, k: int, key: str, iterations: int = 10, s
     return Centroids(_lloyd(own.select(F.lit(0).alias("group"), vector), points, np.zeros(len(points), int), iterations, cosine).reshape(-1, points.shape[1]), cosine)
 
 
-def _lloyd(own: DataFrame, points: np.ndarray, groups: np.ndarray, iterations: int, cosine: bool) -> np.ndarray:
+def _lloyd(own: DataFrame, points: np.ndarray, groups: np.ndarray, iterations: int | None, cosine: bool) -> np.ndarray:
     """Points moved to the means of their cells until they stay. own: group, vector; a row belongs to the nearest point of its group.
-    A round is one pass for all groups: tasks add up the vectors of each cell, so a sum for each point and task travels."""
-    for _ in range(iterations if len(points) else 0):
-        now = own.sparkSession.sparkContext.broadcast((Centroids(points, cosine), groups))
-
-        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            c, groups = now.value
-            total, count = np.zeros_like(c.points), np.zeros(len(c.points), np.int64)
-            for batch in batches:
-                good, v = M.arrow_matrix(batch.column(1), c.points.shape[1])
-                mine = batch.column(0).to_numpy(zero_copy_only=False)[good]
-                for g in np.unique(mine):
-                    at = np.flatnonzero(groups == g)
-                    if len(at):
-                        x = v[mine == g]
-                        cell = at[Centroids(c.points[at], c.cosine).distances(x).argmin(1)]
-                        if c.cosine:
-                            x = x / np.maximum(1e-12, np.sqrt((x * x).sum(1)))[:, None]
-                        np.add.at(total, cell, x)
-                        count += np.bincount(cell, minlength=len(count))
-            used = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64())), pa.array(count[used])], names=["cell", "total", "n"])
-
-        parts = own.mapInArrow(sums, "cell int, total array<double>, n long")
-        added = parts.select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        new = points.copy()
-        for r in added.collect():  # points x dimension numbers
-            new[r.cell, r.i] = r.x / r.n
-        if np.allclose(new, points):
+    A round is one pass for all groups: tasks add up the vectors of each cell, so a sum for each point and task travels.
+    iterations: rounds at most. With None, which can take hundreds, a round over all rows is followed by rounds in which only
+    the vectors nearest to a border change cells: a second pass brings them, counted to be NEAR_BYTES at most. These rounds lower
+    the same sum of distances, and it is always a round over all rows that finds that the points stay."""
+    left = np.inf if iterations is None else iterations
+    while len(points) and left > 0:
+        total, count, margins = _sums(own, points, groups, cosine, iterations is None)
+        new = _means(total, count, points)
+        if np.allclose(new, points, atol=1e-8 * np.abs(points[np.isfinite(points)]).max(initial=0), equal_nan=True):
             break
-        points = new
+        few = np.flatnonzero(np.cumsum(margins) * points.shape[1] * 8 <= NEAR_BYTES)
+        if iterations is None and len(few):
+            new = _near_rounds(points, new, total, count, groups, cosine, *_near(own, points, groups, cosine, MARGINS[few[-1]]))
+        points, left = new, left - 1
     return points
 
 
+def _means(total: np.ndarray, count: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.where(count[:, None] > 0, total / np.maximum(1, count)[:, None], points)
+
+
+def _cells(points: np.ndarray, groups: np.ndarray, cosine: bool, group: np.ndarray, x: np.ndarray, margins: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector the nearest point of its group (-1 if that has none); with margins, by what part of both distances' sum the next
+    point is farther, else infinity."""
+    cell, margin = np.full(len(x), -1), np.full(len(x), np.inf)
+    for g in np.unique(group):
+        at, mine = np.flatnonzero(groups == g), np.flatnonzero(group == g)
+        if len(at):
+            d, row = Centroids(points[at], cosine).distances(x[mine]), np.arange(len(mine))
+            best = d.argmin(1)
+            cell[mine] = at[best]
+            if margins and len(at) > 1:
+                first = d[row, best]
+                d[row, best] = np.inf
+                second = d.min(1)
+                margin[mine] = (second - first) / np.maximum(1e-300, second + first)
+    return cell, margin
+
+
+def _members(batch: pa.RecordBatch, points: np.ndarray, groups: np.ndarray, cosine: bool, margins: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups, vectors (of length 1 for cosine), cells and margins of the rows that have a cell."""
+    good, x = M.arrow_matrix(batch.column(1), points.shape[1])
+    group = batch.column(0).to_numpy(zero_copy_only=False)[good]
+    cell, margin = _cells(points, groups, cosine, group, x, margins)
+    if cosine:
+        x = x / np.maximum(1e-12, np.sqrt((x * x).sum(1)))[:, None]
+    own = cell >= 0
+    return group[own], x[own], cell[own], margin[own]
+
+
+def _sums(own: DataFrame, points: np.ndarray, groups: np.ndarray, cosine: bool, margins: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum and count of the vectors of each cell, and with margins for each of MARGINS how many lie at or below it and above the one before."""
+    now = own.sparkSession.sparkContext.broadcast((points, groups))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, groups = now.value
+        total, count, found = np.zeros_like(points), np.zeros(len(points), np.int64), np.zeros(len(MARGINS) + 1)
+        for batch in batches:
+            _, x, cell, margin = _members(batch, points, groups, cosine, margins)
+            np.add.at(total, cell, x)
+            count += np.bincount(cell, minlength=len(count))
+            if margins:
+                found += np.bincount(np.searchsorted(MARGINS, margin), minlength=len(found))
+        used = np.flatnonzero(count)
+        cells, rows, n = list(used), list(total[used]), list(count[used])
+        if margins:  # as cell -1
+            cells, rows, n = [*cells, -1], [*rows, found[:-1]], [*n, 0]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["cell", "total", "n"])
+
+    parts = own.mapInArrow(sums, "cell int, total array<double>, n long")
+    added = parts.select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    total, count, found = np.zeros_like(points), np.zeros(len(points), np.int64), np.zeros(len(MARGINS))
+    for r in added.collect():  # points x dimension numbers
+        if r.cell < 0:
+            found[r.i] = r.x
+        else:
+            total[r.cell, r.i], count[r.cell] = r.x, r.n
+    return total, count, found
+
+
+def _near(own: DataFrame, points: np.ndarray, groups: np.ndarray, cosine: bool, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and vectors of the rows with a margin of `most` or less."""
+    now = own.sparkSession.sparkContext.broadcast((points, groups))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, groups = now.value
+        for batch in batches:
+            group, x, _, margin = _members(batch, points, groups, cosine, True)
+            at = margin <= most
+            if at.any():
+                yield pa.RecordBatch.from_arrays([pa.array([group[at].astype(np.int64).tobytes()]), pa.array([x[at].tobytes()])], names=["group", "x"])
+
+    rows = own.mapInArrow(near, "group binary, x binary").collect()  # NEAR_BYTES, as the margins were counted
+    return np.frombuffer(b"".join(r.group for r in rows), np.int64), np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, points.shape[1])
+
+
+def _near_rounds(before: np.ndarray, points: np.ndarray, total: np.ndarray, count: np.ndarray, groups: np.ndarray, cosine: bool, group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Points after rounds in which only these vectors change cells, until none does. total, count: of all vectors, by the points before."""
+    cell = _cells(before, groups, cosine, group, x)[0]
+    while True:
+        now = _cells(points, groups, cosine, group, x)[0]
+        other = np.flatnonzero(now != cell)
+        if not len(other):
+            return points
+        np.subtract.at(total, cell[other], x[other])
+        np.add.at(total, now[other], x[other])
+        count += np.bincount(now[other], minlength=len(count)) - np.bincount(cell[other], minlength=len(count))
+        points, cell = _means(total, count, points), now
+
+
 def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ starting points."""
     if not k:

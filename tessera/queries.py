@@ -338,7 +338,7 @@ def _checked_cells(e, centroids):
 def kmeans_cells(spark, d):
     """Run until nothing changes, every vector is in the cell of its nearest centroid, and every centroid the mean of its cell."""
     e = vectors(spark, d)
-    wrong, means = _checked_cells(e, C.kmeans(e, "embedding", 16, "vec_id", 200))
+    wrong, means = _checked_cells(e, C.kmeans(e, "embedding", 16, "vec_id", None))
     return wrong.crossJoin(F.broadcast(means))  # one row each
 
 

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +196,42 @@ def test_cells(spark, base, tmp_path):
     assert len(C.two_level(one, "v", "id", 2, 3).points) == 6
 
 
+def test_kmeans_cells_of_vectors_that_take_300_rounds(spark, tmp_path):
+    from oracle import spark_rows, sql_rows
+
+    from tessera.queries import ORACLES, QUERIES
+
+    x = np.random.default_rng(5).normal(size=(10_000, 8)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    assert spark_rows(QUERIES["kmeans_cells"](spark, str(tmp_path))) == sql_rows(ORACLES["kmeans_cells"], tmp_path)
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+@pytest.mark.parametrize("rows", [0, 40, 300])
+def test_kmeans_without_a_limit_ends_where_points_stay(base, monkeypatch, cosine, rows):
+    """rows: as many as the driver takes for rounds near the borders; with 0 these are plain rounds."""
+    monkeypatch.setattr(C, "NEAR_BYTES", rows * 6 * 8)
+    taken, near = [], C._near
+    monkeypatch.setattr(C, "_near", lambda *a: taken.append(near(*a)) or taken[-1])
+    c = C.kmeans(base, "v", 8, "id", None, cosine=cosine)
+    assert all(len(group) == len(x) <= rows for group, x in taken) and any(len(x) for _, x in taken) == (rows > 0)
+    cell = c.distances(X).argmin(1)
+    unit = X / np.maximum(1e-12, np.sqrt((X * X).sum(1)))[:, None] if cosine else X
+    assert np.allclose(c.points, [unit[cell == i].mean(0) for i in range(8)])
+    if not rows:
+        assert np.allclose(c.points, C.kmeans(base, "v", 8, "id", 1000, cosine=cosine).points)
+
+
+def test_near_rounds_of_groups_stay_in_their_groups(spark):
+    """Of two groups with the same vectors each has its own points; a group without points takes no part."""
+    g, start = np.repeat([0, 1, 2], 300), np.concatenate((X[:4], X[100:103]))
+    own = spark.createDataFrame([(int(k), X[i % 300].tolist()) for i, k in enumerate(g)], "group int, v array<float>")
+    points = C._lloyd(own, start, np.array([0] * 4 + [1] * 3), None, False)
+    for mine in (points[:4], points[4:]):
+        cell = M.score_matrix("L2", X, mine).argmin(1)
+        assert np.allclose(mine, [X[cell == i].mean(0) for i in range(len(mine))])
+
+
 def test_hits_of_ivf_are_mostly_right(spark, base):
     one = base.where("id < 300")
     c = C.kmeans(one, "v", 8, "id", seed=1)
