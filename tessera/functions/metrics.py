@@ -142,12 +142,12 @@ def normalized_score(metric: str, s: Column) -> Column:
     raise InvalidArgument(f"metric {metric}")
 
 
-def arrow_matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+def arrow_matrix(column: pa.Array, dimension: int, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows of an Arrow list column that are vectors of a dimension without nulls, and these as a matrix."""
     lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     places = np.flatnonzero(lengths == dimension)
     own = column.take(pa.array(places)) if len(places) < len(column) else column
-    flat = pc.cast(own.flatten(), pa.float64())
+    flat = pc.cast(own.flatten(), pa.from_numpy_dtype(kind))
     x = (flat.to_numpy(zero_copy_only=False) if not flat.null_count else pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False)).reshape(len(places), dimension)
     if flat.null_count:
         gaps = np.asarray(flat.is_null().to_numpy(zero_copy_only=False)).reshape(len(places), dimension).any(1)

@@ -91,6 +91,53 @@ def test_batch(spark, base, metric, block):
     assert S.knn_batch(base, queries.limit(0), 4, "id", "v", "q", "w").count() == 0
 
 
+def plain(metric, x, q, k):
+    """Scores and rows of the k best for each query, pair by pair in order of the dimensions; ties by row."""
+    out = []
+    for v in q:
+        s = np.add.accumulate((x - v) ** 2 if metric == "L2" else x * v, 1)[:, -1]
+        if metric == "COSINE":
+            s = 1 - s / (np.sqrt(np.add.accumulate(x * x, 1)[:, -1]) * np.sqrt(np.add.accumulate(v * v)[-1]))
+        first = np.lexsort((np.arange(len(x)), SIGN[metric] * s))[:k]
+        out.append((s[first].tolist(), first.tolist()))
+    return out
+
+
+@pytest.mark.parametrize("every", [1, 40])
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE"])
+def test_batch_of_copies_far_from_zero(spark, metric, every):
+    """Copies tie and go by key, in another partition and block too; near vectors far from zero are told apart. every: of how many
+    rows one is a query, so that the base or the queries are broadcast."""
+    x = np.random.default_rng(3).normal(size=(400, 6)) / 1000 + 1000
+    x[200:] = x[:200]
+    x[50:90] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows[::-1], "id int, v array<double>").repartition(5)
+    queries = df.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v")
+    got = {}
+    for r in S.knn_batch(df, queries, 4, "id", "v", "q", "v", metric, 8000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, ([], []))
+        got[r.query_id][0].append(r.score)
+        got[r.query_id][1].append(r.id)
+    assert got == dict(zip(range(0, 400, every), plain(metric, x, x[::every], 4)))
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e25])
+@pytest.mark.parametrize("metric", ["L2", "IP", "COSINE"])
+def test_batch_scores_few_pairs_exactly(monkeypatch, metric, scale):
+    """Most pairs are told from the best by products of single precision; whatever the size of the values, the best are right."""
+    x = np.random.default_rng(4).normal(size=(3000, 16)) * scale
+    x[2000:2500] = x[7]
+    taken, exact = [], S._Sides.exact
+    monkeypatch.setattr(S._Sides, "exact", lambda self, q, norm, j: taken.append(len(j)) or exact(self, q, norm, j))
+    ids = pa.array(range(3000), pa.int64())
+    out = pa.Table.from_batches(S._answers(S._distinct(ids, x, 5), ids, x, 5, metric, (pa.int64(), pa.int64()))).to_pydict()
+    want = plain(metric, x, x, 5)
+    assert out["query_id"] == [i for i in range(3000) for _ in range(5)]
+    assert out["key"] == [j for _, rows in want for j in rows] and out["score"] == [s for scores, _ in want for s in scores]
+    assert sum(taken) < 0.03 * 3000 * 3000
+
+
 def test_refined_and_recall(spark, base):
     coarse = M.squared_l2(Q.dequantize(Q.int4(F.col("v"))), M.vector_lit(QUERY))
     assert [r.id for r in S.refined(base.where("id < 1000"), coarse, QUERY, 5, "id", "v").collect()] == best("L2", 5)
